@@ -20,7 +20,7 @@ from graphloom.llm.common import pinned, spread, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 FEATURES = ("f_len", "f_sym", "f_dup", "f_rep")
 #: Smallest standard deviation of each feature: ln mean word length, root symbol share, duplicate-line share, repeated-word share.
 FLOORS = (0.06, 0.04, 0.15, 0.15)
@@ -33,28 +33,21 @@ BROADCAST_GROUPS = 20_000
 KEYS = ("g_lang", "g_source")
 
 
-def _without(text: Column, chars: str) -> Column:
-    """How many of these ASCII characters text has."""
-    n = F.lit(0)
-    for c in chars:
-        n = n + F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
-    return n.cast("long")
-
-
 def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", carry: bool = False) -> DataFrame:
     """One row per row of docs: id, group and base statistics; carry keeps the row of docs as a struct ``row``."""
     own = [F.struct("*").alias("row")] if carry else []
     kept = ["row"] if carry else []
     base = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.coalesce(F.col(text), F.lit("")).alias("t"), *own)
     head = ["id", *KEYS, *kept]
-    words = base.select(
+    split = base.select(
         *head,
         F.split(F.btrim("t", F.lit(BLANKS)), SPACE).alias("w0"),
-        (F.char_length("t").cast("long") - _without(F.col("t"), BLANKS)).alias("word_chars"),
-        _without(F.col("t"), SYMBOLS).alias("n_symbols"),
+        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("lines"),
-    ).select(
-        *head, "word_chars", "n_symbols", "lines", F.when(F.col("word_chars") == 0, F.array().cast("array<string>")).otherwise(F.col("w0")).alias("w")
+    )
+    words = split.select(
+        *head, F.char_length(F.concat_ws("", "w0")).cast("long").alias("word_chars"), "n_symbols", "lines",
+        F.when(F.get("w0", F.lit(0)) == "", F.array().cast("array<string>")).otherwise(F.col("w0")).alias("w"),
     )
     hashed = words.select(
         *head, "word_chars", "n_symbols",
@@ -64,14 +57,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang
         F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
         .otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
-    ranked = hashed.select(
-        *head, "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines",
-        F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"),
+    stat = ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines")
+    ordered = hashed.select(
+        *head, *stat,
+        F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"),
     )
     # Sorted by window, the copies of a window are neighbours.
-    twice = F.expr("transform(filter(s, (e, k) -> get(s, k - 1).x <=> e.x or get(s, k + 1).x <=> e.x), e -> e.i)")
+    placed = ordered.select(
+        *head, *stat, F.col("s").isNull().alias("none"),
+        F.when(F.col("s").isNotNull(), F.expr("transform(filter(s, (e, k) -> get(s, k - 1).x <=> e.x or get(s, k + 1).x <=> e.x), e -> e.i)")).alias("at"),
+    )
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(p, p + 1, p + 2))))).cast("long")
-    return ranked.select(*head, "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", F.when(F.col("s").isNotNull(), twice).alias("at"), F.col("s").isNull().alias("none")).select(
+    return placed.select(
         *head, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.col("none"), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words")
     )
 
