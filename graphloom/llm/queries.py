@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm.chat import OP7_SQL, op7_chat
+from graphloom.llm.decontaminate import OP4_SQL, op4_decontaminate
+from graphloom.llm.pii import op6_pii
 from graphloom.llm.quality import op8_quality
 from graphloom.llm.simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_pii": op6_pii,
+    "op7_chat": op7_chat,
     "op8_quality": op8_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op7_chat": OP7_SQL}
