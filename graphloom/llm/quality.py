@@ -68,8 +68,11 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang
         F.when(F.col("s").isNotNull(), F.expr("transform(filter(s, (e, k) -> get(s, k - 1).x <=> e.x or get(s, k + 1).x <=> e.x), e -> e.i)")).alias("at"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(p, p + 1, p + 2))))).cast("long")
+    # A filter on the statistics must not be pushed below them, where each use would make them again: no optimizer moves
+    # one past a column that is not deterministic.
+    still = [F.monotonically_increasing_id().alias("still")] if carry else []
     return placed.select(
-        *head, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.col("none"), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words")
+        *head, *still, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.col("none"), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words")
     )
 
 
@@ -158,7 +161,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """The rows of docs that are kept, columns as they were; texts are read twice and never shuffled unless groups exceed the broadcast bound."""
     small = pinned(statistics(docs, id_col, text, lang, source))
     fitted = fit(with_features(small).filter("not base_failed").select(*KEYS, *FEATURES))
-    return judged(statistics(docs, id_col, text, lang, source, carry=True), cutoff, fitted).filter("kept").select("row.*")
+    return judged(statistics(docs, id_col, text, lang, source, carry=True), cutoff, fitted).filter("kept and still >= 0").select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
