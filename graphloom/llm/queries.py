@@ -14,6 +14,7 @@ from graphloom.llm.pack import op3_pack
 from graphloom.llm.pii import op6_pii
 from graphloom.llm.quality import op8_quality
 from graphloom.llm.simhash import op2_simhash
+from graphloom.llm.suffixes import op9_suffixes
 from graphloom.llm.warc import op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
+    "op9_suffixes": op9_suffixes,
     "op10_licences": op10_licences,
 }
 
