@@ -46,6 +46,8 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: A leaf is template if it is equal in this share of its matches, over at least so many pages.
 SHARE, LEAST_PAGES = 0.6, 4
+#: An element marked up as article or main loses constant leaves only if they are at most this share of its text.
+TEMPLATE_IN_ARTICLE = 0.2
 #: Skeletons of all hosts are broadcast up to so many bytes together, else joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -217,15 +219,17 @@ def main_text(root: Node, constant: frozenset[int] = frozenset()) -> str:
         todo.extend(k for k in v.kids if not k.out)
     tops = found["article"] or found["main"]
     top = max(tops, key=size) if tops else best[1]
-    blocks, todo = [], [top]
+    leaves, todo = [], [top]
     while todo:
         v = todo.pop()
         if v.tag == "#t":
-            if v.key not in constant:
-                blocks.append(v.text)
+            leaves.append(v)
         elif not (v.tag in ("ul", "ol", "table") and menu(v)):
             todo.extend(k for k in reversed(v.kids) if not k.out)
-    return "\n\n".join(blocks)
+    fixed = sum(len(v.text) for v in leaves if v.key in constant)
+    if tops and fixed > TEMPLATE_IN_ARTICLE * sum(len(v.text) for v in leaves):
+        constant = frozenset()  # pages of one article, not a template
+    return "\n\n".join(v.text for v in leaves if v.key not in constant)
 
 
 def menu(node: Node) -> bool:
