@@ -33,6 +33,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PLACE = np.uint64((1 << 30) - 1)
+#: Bytes of documents that are hashed together at least.
+CHUNK = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -70,8 +72,8 @@ class Hashes:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
-def runs_of(data: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...] | None:
-    """First and last string of each run, its anchor's place, anchor hash and run hash; None below one string."""
+def runs_of(data: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...] | None:
+    """Over documents laid end to end, ends[k] being where document k stops: for each run its document, first and last string, anchor's place, anchor hash and run hash; None if no document has a string."""
     n = len(data)
     if n < size:
         return None
@@ -87,11 +89,22 @@ def runs_of(data: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...] |
     if span < width:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     place = (low & PLACE).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    stop = np.full(len(place), False)
+    for k in range(1, size):  # strings that would cross an end
+        cross = ends - k
+        stop[cross[(cross >= 0) & (cross < len(place))]] = True
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (stop[1:] != stop[:-1])
+    new[ends[ends < len(place)]] = True
+    first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(place)]]) - 1
+    keep = ~stop[first]
+    first, last = first[keep], last[keep]
+    if not len(first):
+        return None
     anchor = place[first]
     whole = mixed(h.part(first, last + size) + (last - first).astype(np.uint64) * MIX1 + (anchor - first).astype(np.uint64) * MIX2)
-    return first, last, anchor, grams[anchor], whole
+    return np.searchsorted(ends, first, side="right"), first, last, anchor, grams[anchor], whole
 
 
 def as_bytes(text: str | None) -> np.ndarray:
@@ -222,7 +235,7 @@ def covered_strings(g: dict[str, np.ndarray], size: int) -> Iterator[tuple[np.nd
             yield order[x], off[x] - back
 
 
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 50, gram: int = 20, slices: int = 4, hot: int = 512) -> tuple[DataFrame, DataFrame]:
+def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 50, gram: int = 20, slices: int = 2, hot: int = 512) -> tuple[DataFrame, DataFrame]:
     """(keyed documents (doc, copy, text), covered strings (doc, copy, at, n): n strings from byte at on)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -240,21 +253,33 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     def runs(part: int):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts: list[tuple[int, int, np.ndarray]] = []
+            held: list[tuple] = []
+
+            def flush() -> None:
+                doc, copy = (np.array([t[k] for t in texts], np.int64) for k in (0, 1))
+                ends = np.cumsum([len(t[2]) for t in texts])
+                found = runs_of(np.concatenate([t[2] for t in texts]), ends, size, gram)
+                texts.clear()
+                if found is None:
+                    return
+                mine = found[4] % np.uint64(slices) == part
+                k, first, last, anchor, h, r = (c[mine] for c in found)
+                begin = np.concatenate([[0], ends[:-1]])[k]
+                held.append((h.view(np.int64), r.view(np.int64), doc[k], copy[k], first - begin, last - first + 1, anchor - first))
+
             for batch in batches:
-                held: list[tuple] = []
                 for doc, copy, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    found = runs_of(as_bytes(t.as_py()), size, gram)
-                    if found is None:
-                        continue
-                    first, last, anchor, h, r = found
-                    mine = h % np.uint64(slices) == part
-                    first, n = first[mine], (last - first)[mine] + 1
-                    held.append((h[mine].view(np.int64), r[mine].view(np.int64), np.full(len(n), doc), np.full(len(n), copy), first, n, anchor[mine] - first))
+                    texts.append((doc, copy, as_bytes(t.as_py())))
+                    if sum(len(x[2]) for x in texts) >= CHUNK:
+                        flush()
                     if sum(len(x[0]) for x in held) >= 500_000:
                         yield thinned(held)
-                        held = []
-                if held:
-                    yield thinned(held)
+                        held.clear()
+            if texts:
+                flush()
+            if held:
+                yield thinned(held)
 
         return scan
 
