@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from graphloom.llm.common import ascii_lower, fresh, pinned, spread, table
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A prefix table of at most so many windows (under 40 MB) is broadcast; a larger one is joined by shuffle, with the words around each candidate.
 BROADCAST_WINDOWS = 100_000
 
@@ -29,27 +28,28 @@ def _words(text: Column) -> Column:
     return F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK)
 
 
-def _solid(df: DataFrame, raw: str, out: str) -> DataFrame:
-    """raw without its empty ends."""
+def _ends(raw: str) -> tuple[Column, Column]:
+    """1 if raw starts with an empty string, else 0; and how many words it has."""
     lead = (F.get(raw, F.lit(0)) == "").cast("int")
     trail = ((F.size(raw) > 1) & (F.get(raw, F.size(raw) - 1) == "")).cast("int")
-    return df.withColumn("lead", lead).withColumn(out, F.slice(raw, F.col("lead") + 1, F.size(raw) - F.col("lead") - trail)).drop("lead", raw)
+    return lead, F.size(raw) - lead - trail
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 8) -> DataFrame:
     """Distinct windows: win (words), m (their number), items (ids that have it)."""
-    words = _solid(items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), _words(F.col(text)).alias("raw")), "raw", "w").filter("size(w) > 0")
+    raw = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), _words(F.col(text)).alias("raw"))
+    words = raw.select("item", F.filter("raw", lambda w: w != "").alias("w")).filter("size(w) > 0")
     last = F.greatest(F.size("w") - window, F.lit(0))
     wins = words.select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("item", F.slice("w", F.col("at") + 1, window).alias("win"))
     return wins.groupBy("win").agg(F.collect_set("item").alias("items")).withColumn("m", F.size("win"))
 
 
 def prefixes(windows: DataFrame, doc_words: DataFrame) -> DataFrame:
-    """windows with their rarest word over doc_words(w): token, and k, its place in the window."""
+    """windows with their rarest word over doc_words(raw): token, and k, its place in the window."""
     spots = windows.select("win", "m", "items", F.posexplode("win").alias("k", "token"))
     small = windows.count() <= BROADCAST_WINDOWS
     asked = spots.select("token").distinct()
-    counted = doc_words.select(F.explode("w").alias("token")).join(F.broadcast(asked) if small else asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counted = doc_words.select(F.explode("raw").alias("token")).join(F.broadcast(asked) if small else asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = spots.join(counted, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = ranked.groupBy("win").agg(F.min(F.struct("n", "token", "k")).alias("best"), F.first("m").alias("m"), F.first("items").alias("items"))
     return best.filter("best.n > 0").select(F.col("best.token").alias("token"), F.col("best.k").alias("k"), "win", "m", "items")
@@ -57,15 +57,17 @@ def prefixes(windows: DataFrame, doc_words: DataFrame) -> DataFrame:
 
 def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 8) -> DataFrame:
     """(id, h, starts, items): for each distinct (id, text hash) with a hit, the places and lengths of windows and the item ids."""
-    keyed = _solid(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), _words(F.col(text)).alias("raw")), "raw", "w")
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), _words(F.col(text)).alias("raw"))
+    lead, n = _ends("raw")
     windows = pinned(item_windows(items, item_id, item_text, window))
     table_ = pinned(prefixes(windows, keyed))
-    spots = keyed.select("id", "h", "w", F.size("w").alias("n"), F.posexplode("w").alias("p", "token"))
+    # Exploding the split itself is fast, a slice of it is not; so q counts from an empty first string, if there is one.
+    spots = keyed.select("id", "h", "raw", lead.alias("lead"), n.alias("n"), F.posexplode("raw").alias("q", "token")).withColumn("p", F.col("q") - F.col("lead"))
     bounds = (F.col("p") >= F.col("k")) & (F.col("p") - F.col("k") + F.col("m") <= F.col("n"))
     if table_.count() <= BROADCAST_WINDOWS:
-        found = spots.join(F.broadcast(table_), "token").filter(bounds & (F.slice("w", F.col("p") - F.col("k") + 1, F.col("m")) == F.col("win")))
+        found = spots.join(F.broadcast(table_), "token").filter(bounds & (F.slice("raw", F.col("q") - F.col("k") + 1, F.col("m")) == F.col("win")))
     else:
-        near = spots.select("id", "h", "n", "p", "token", F.least("p", F.lit(window - 1)).alias("back"), F.slice("w", F.greatest(F.col("p") - window + 2, F.lit(1)), 2 * window - 1).alias("near"))
+        near = spots.select("id", "h", "n", "p", "token", F.least("q", F.lit(window - 1)).alias("back"), F.slice("raw", F.greatest(F.col("q") - window + 2, F.lit(1)), 2 * window - 1).alias("near"))
         found = near.join(table_, "token").filter(bounds & (F.slice("near", F.col("back") - F.col("k") + 1, F.col("m")) == F.col("win")))
     return found.groupBy("id", "h").agg(
         F.collect_set(F.struct((F.col("p") - F.col("k")).alias("at"), "m")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
@@ -79,7 +81,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.size(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["m"] - 1))))).cast("long").alias("n_hit"),
         F.array_sort(F.transform("items", lambda i: i.cast("string"))).alias("items"),
     )
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), _words(F.col(text)).alias("raw")).select("id", "h", _ends("raw")[1].cast("long").alias("n_words"))
     both = base.join(spread(hits), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
     n_items = F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long")
     return both.select(
