@@ -25,7 +25,7 @@ from graphloom.llm.common import pinned, spread, table
 
 END = 1
 #: Token ids of at most so many distinct words are remembered by a worker.
-REMEMBER = 200_000
+REMEMBER = 700_000
 _LOADED: dict[str, tuple] = {}
 
 
