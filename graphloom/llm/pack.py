@@ -13,12 +13,15 @@ no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from graphloom.llm.common import pinned, spread, table
@@ -26,29 +29,73 @@ from graphloom.llm.common import pinned, spread, table
 END = 1
 #: Token ids of at most so many distinct words are remembered by a worker.
 REMEMBER = 700_000
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, Words] = {}
 
 
-def encoder(path: str) -> tuple:
-    """The tokenizer of a file and its memory of words, once a worker."""
-    if path not in _LOADED:
+def byte_names() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the rest from 256 on in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class Words:
+    """Ids of words by a tokenizer file, with a memory of the words met.
+
+    Nearly all cost of a word is the pipeline around its merges. For words of printable ASCII and Latin-1 letters that
+    pipeline is lower case, the file's own split pattern and byte names, so they are split here and only their pieces go
+    to the model; other words, and files whose steps differ, go through the whole tokenizer.
+    """
+
+    _PLAIN = regex.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    return _LOADED[path]
+        self.tokenizer, self.known, self.names = Tokenizer.from_file(path), {}, byte_names()
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.special = [a["content"].lower() for a in made["added_tokens"]]
+        steps = [(made[k] or {}).get(f"{k.replace('_', '')}s", []) for k in ("normalizer", "pre_tokenizer")]
+        split = steps[1][0] if steps[1] else {}
+        plain = [[x["type"] for x in s] for s in steps] == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and made["model"]["type"] == "BPE"
+        plain = plain and (split["behavior"], split["invert"], steps[1][1]["add_prefix_space"], steps[1][1]["use_regex"]) == ("Removed", True, False, False)
+        self.split = regex.compile(split["pattern"]["Regex"]) if plain else None
+
+    def learn(self, words: list[str]) -> None:
+        other = []
+        for w in words:
+            low = w.lower()
+            if self.split is None or not self._PLAIN.fullmatch(w) or any(s in low for s in self.special):
+                other.append(w)
+                continue
+            found = []
+            for piece in self.split.findall(low):
+                ids = self.known.get(piece)
+                if ids is None:
+                    named = piece if piece.isascii() else "".join(map(self.names.__getitem__, piece.encode()))
+                    tokens = self.model.tokenize(named)
+                    ids = self.known[piece] = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
+                found.append(ids)
+            self.known[w] = b"".join(found)
+        encoded = self.tokenizer.encode_batch(other, add_special_tokens=False) if other else []
+        self.known |= {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(other, encoded)}
 
 
 def ids_of(text: str, path: str) -> bytes:
     """Little-endian 32-bit ids. The tokenizer drops white space and never joins over it, so words are encoded on their own; ASCII blanks alone are split at, as any other white space is left to the tokenizer."""
-    tokenizer, known = encoder(path)
+    if path not in _LOADED:
+        _LOADED[path] = Words(path)
+    memory = _LOADED[path]
     words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-    missing = [w for w in set(words) if w not in known]
+    missing = [w for w in set(words) if w not in memory.known]
     if missing:
-        if len(known) + len(missing) > REMEMBER:
-            known.clear()
+        if len(memory.known) + len(missing) > REMEMBER:
+            memory.known.clear()
             missing = list(set(words))
-        known |= {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False))}
-    return b"".join(map(known.__getitem__, words))
+        memory.learn(missing)
+    return b"".join(map(memory.known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

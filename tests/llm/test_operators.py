@@ -180,3 +180,19 @@ def test_suffix_sort():
     s = suffixes.Suffixes(data, at, end, key)
     want = sorted(range(60), key=lambda i: (key[i], data[at[i] : end[i]].tobytes()))
     assert [(key[i], data[at[i] : end[i]].tobytes()) for i in s.sorted()] == [(key[i], data[at[i] : end[i]].tobytes()) for i in want]
+
+
+def test_ids_by_pieces_equal_the_whole_tokenizer():
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from graphloom.llm.pack import ids_of
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    texts = ["", " ", "Don't 'TIS !'s a'll x's 's's''t", "<|endoftext|> a<|ENDOFTEXT|>b <|startoftext|>", "É À ß ÿ Straße ŒUVRE İI × ÷ µ ª é", "\x00\x7f a\x1fb c", "12ab34 ½ ² 5.6.7 日本 ação", "a" * 3000 + "1" * 50]
+    for text in texts:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert ids_of(text, path) == struct.pack(f"<{len(ids)}I", *ids)
