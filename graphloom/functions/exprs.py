@@ -75,18 +75,20 @@ def without_generics(text: Column, depth: int = 4) -> Column:
 
 def qualified(text: Column) -> Column:
     """Without white space and ``global::``."""
-    return F.regexp_replace(F.regexp_replace(text, r"\s+", ""), "global::", "")
+    return F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r"\bglobal::", "")
 
 
 def name_variants(text: Column) -> Column:
-    """The bare qualified name and its right-most segment."""
-    n = without_generics(qualified(text))
-    return F.array_distinct(F.array(n, F.element_at(F.split(n, r"\."), -1)))
+    """The name without generics, ``[]``, ``?`` and outer blanks, and its right-most segment."""
+    n = F.regexp_replace(F.regexp_replace(without_generics(text), r"\[\]|\?", ""), r"^\s+|\s+$", "")
+    last = F.get(F.reverse(F.filter(F.split(n, r"\."), lambda part: part != "")), F.lit(0))
+    return F.array_distinct(F.array_compact(F.array(n, last)))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Leading path segments that two paths share."""
-    same = F.zip_with(F.split(normal_path(a), "/"), F.split(normal_path(b), "/"), lambda x, y: x.eqNullSafe(y) & x.isNotNull())
+    left, right = (F.filter(F.split(normal_path(p), "/"), lambda part: part != "") for p in (a, b))
+    same = F.zip_with(left, right, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
     stop = F.array_position(F.transform(same, lambda s: s.cast("int")), 0)
     return F.coalesce(F.when(stop == 0, F.size(same)).otherwise(stop - 1), F.lit(0)).cast("int")
 

@@ -115,7 +115,7 @@ def candidates(asked: DataFrame, syms: DataFrame, used: DataFrame) -> DataFrame:
     """One row per request and symbol that its name, its qualified name or its name behind an import alias means."""
     name = qualified(F.col("wanted"))
     cut = F.instr(name, ".")
-    a = asked.withColumn("head", F.when(cut > 1, F.substring_index(name, ".", 1))).withColumn("tail", F.when(cut > 1, F.nullif(F.expr("substring(q, instr(q, '.') + 1)".replace("q", "regexp_replace(regexp_replace(wanted, '\\\\s+', ''), 'global::', '')")), F.lit(""))))
+    a = asked.withColumn("head", F.when(cut > 1, F.substring_index(name, ".", 1))).withColumn("tail", F.when(cut > 1, F.nullif(F.regexp_replace(name, r"^[^.]*\.", ""), F.lit(""))))
     later = F.max_by("space", F.struct("line", "space"))  # of several uses of an alias the last
     named = used.filter("alias is not null")
     in_file = named.groupBy("file", F.col("alias").alias("head")).agg(later.alias("f_target"))
@@ -123,7 +123,7 @@ def candidates(asked: DataFrame, syms: DataFrame, used: DataFrame) -> DataFrame:
     context = used.groupBy("file").agg(F.collect_set("space").alias("spaces"), F.collect_set(F.when(F.col("is_static"), F.col("space"))).alias("statics"))
     a = a.join(in_file, ["file", "head"], "left").join(anywhere, "head", "left").join(context, "file", "left")
     a = a.withColumn("alias_full", F.concat(F.coalesce("f_target", "g_target"), F.lit("."), "tail")).withColumn("variants", F.filter(name_variants(F.col("wanted")), lambda v: v != ""))
-    a = a.withColumn("by_full", F.array_compact(F.array_append("variants", F.col("alias_full"))))
+    a = a.withColumn("fulls", F.transform("variants", qualified)).withColumn("by_full", F.array_compact(F.array_append("fulls", F.col("alias_full"))))
     keys = F.array_union(F.transform("variants", lambda v: F.concat(F.lit("n:"), v)), F.transform("by_full", lambda v: F.concat(F.lit("q:"), v)))
     wanted = a.withColumn("key", F.explode(keys))
     offered = syms.withColumn("key", F.explode(F.array_compact(F.array(F.concat(F.lit("n:"), "name"), F.concat(F.lit("q:"), "full")))))
@@ -139,7 +139,7 @@ def scored(pairs: DataFrame) -> DataFrame:
     fits = F.filter("spaces", lambda i: (i == F.col("space")) | F.startswith(F.col("space"), F.concat(i, F.lit("."))) | F.startswith(i, F.concat("space", F.lit("."))))
     length = F.greatest(F.coalesce(F.array_max(F.transform(fits, lambda i: F.length(i))), F.lit(0)), F.coalesce("g_length", F.lit(0)))
     values = {
-        "qualified": flag(F.col("full").contains(".") & F.array_contains("variants", F.col("full"))),
+        "qualified": flag(F.col("full").contains(".") & F.array_contains("fulls", F.col("full"))),
         "aliased": flag(F.col("full") == F.col("alias_full")),
         "same_file": flag(F.col("at") == F.col("file")),
         "same_type": flag(F.col("owner") == F.col("caller")),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.functions.exprs import common_prefix, edge_key, is_test_path, module_key, name_variants
 from graphloom.operators.frames import pinned
 from graphloom.operators.queries import Graph
+from graphloom.operators.resolver import resolved
 from graphloom.operators.rollup import degrees, first_edges, merged_nodes, module_graph, upserted
 from graphloom.operators.traverse import closure
 from graphloom.sources.derived import CTES, graph
@@ -279,6 +280,32 @@ def module_keys(g: Graph) -> DataFrame:
     return g.nodes.select("id", module_key(F.col("file_path")).alias("module"))
 
 
+def parts_query(name: str, sql: str):
+    """Registers a function of the part table."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/part.parquet"))
+        ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@parts_query("r8_resolver_decisions", """WITH p AS (SELECT p_name, concat('symbol:', p_brand, '/', p_type, '.cs#', p_name, '@', CAST(p_partkey AS VARCHAR(20))) AS id,
+  count(*) OVER (PARTITION BY p_name) AS candidates, count(*) OVER (PARTITION BY p_name, p_brand, p_type) AS alike FROM part)
+SELECT id, candidates, CASE WHEN alike = 1 THEN 'ranked_auto_resolved' ELSE 'ranked_low_confidence' END AS decision,
+  CAST(CASE WHEN alike = 1 THEN 0.85 ELSE 0.0975 END AS DOUBLE) AS confidence, CASE WHEN alike = 1 THEN id ELSE concat('external:', p_name) END AS target FROM p""")
+def resolver_decisions(part: DataFrame) -> DataFrame:
+    """Every part is a symbol of the file <brand>/<type>.cs and calls the external that bears its own name."""
+    path = F.concat("p_brand", F.lit("/"), "p_type", F.lit(".cs"))
+    symbol = part.select(F.concat(F.lit("symbol:"), path, F.lit("#"), "p_name", F.lit("@"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), path.alias("file_path"), F.create_map(F.lit("containingType"), "p_brand").alias("metadata"))
+    outside = part.select(F.concat(F.lit("external:"), "p_name").alias("id"), F.col("p_name").alias("name")).distinct()
+    nodes = symbol.select("*", F.lit("symbol").alias("kind"), F.lit("csharp").alias("language")).unionByName(outside.withColumn("kind", F.lit("external")), allowMissingColumns=True)
+    calls = symbol.select(F.lit("calls").alias("type"), F.col("id").alias("src"), F.concat(F.lit("external:"), "name").alias("dst"), "file_path", F.lit(1).alias("line"))
+    value = F.col("metadata")
+    return resolved(nodes, calls).select(F.col("src").alias("id"), value["resolverCandidateCount"].cast("long").alias("candidates"), value["resolverDecision"].alias("decision"), value["resolverConfidence"].cast("double").alias("confidence"), F.col("dst").alias("target"))
+
+
 CHANGES = "e AS (SELECT event_id AS seq, ts, CAST(user_id AS VARCHAR(20)) AS file_path, CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'add' ELSE 'change' END AS change_type FROM events)"
 
 
