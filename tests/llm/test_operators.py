@@ -49,6 +49,39 @@ def test_bit_sliced_distances():
     assert simhash.within(base[:1], simhash.planes_of(~base), 4) is None
 
 
+def test_near_copies_by_jaccard(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 60 + 10 * (i % 7))]
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 4):
+            edited = list(base)
+            for at in rng.choice(len(base), k, replace=False):
+                edited[at] = f"e{i}_{k}"
+            rows.append((10 * i + k, " ".join(edited)))
+    line = " ".join(f"c{k}" for k in range(30))
+    rows += [(1000 + i, line + " " + " ".join(f"w{x}" for x in rng.integers(0, 3000, 20))) for i in range(80)]
+    rows += [(2000, "one two"), (2001, "One  two"), (2002, ""), (2003, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (x or "").lower().split()) else set() for d, x in rows}
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    want, seen = set(), set()
+    for d, _ in rows:
+        if d not in seen:
+            want.add(d)
+            reach, todo = {d}, [d]
+            while todo:
+                x = todo.pop()
+                more = {e for e, _ in rows if e not in reach and near(sets[x], sets[e])}
+                reach |= more
+                todo += more
+            seen |= reach
+    fps = {d: simhash.fingerprint(x, 5) for d, x in rows}
+    assert any(near(sets[d], sets[d + 1]) and (fps[d] ^ fps[d + 1]).bit_count() > 4 for d in range(0, 400, 10))
+    assert {r.doc_id for r in simhash.keep_one_per_class(docs).collect()} == want
+
+
 def test_quality(docs):
     got = quality.judged(simhash.pinned(quality.statistics(docs))).collect()
     assert len(got) == 12
