@@ -362,11 +362,12 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs whose id is the smallest of its class of :func:`similar_classes`; of rows that share that id, one stays. Columns as in docs; rows with a null id stay."""
-    classes = pinned(similar_classes(docs, id_col, text, shingle))
-    first = classes.groupBy("root").agg(F.min("doc_id").alias(id_col)).select(id_col).distinct()
-    kept = docs.join(spread(first), id_col, "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    """One row of docs per class of :func:`similar_classes`: the smallest id (null last), then text hash, then row hash. Columns as in docs."""
+    classes = similar_classes(docs, id_col, text, shingle)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(*docs.columns).alias("o"))
+    kept = rows.join(spread(first), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")), "left_semi")
+    return kept.groupBy("id", "h").agg(F.min_by("row", "o").alias("row")).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

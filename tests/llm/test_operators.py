@@ -82,6 +82,13 @@ def test_near_copies_by_jaccard(spark):
     assert {r.doc_id for r in simhash.keep_one_per_class(docs).collect()} == want
 
 
+def test_one_row_per_class(spark):
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, PROSE, "a"), (2, PROSE, "b"), (2, other, "c"), (None, other, "d"), (None, "alone", "e"), (None, "alone", "e"), (3, "same", "f"), (3, "same", "f")]
+    got = simhash.keep_one_per_class(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.lang) for r in got) == [(0, "e"), (1, "a"), (2, "c"), (3, "f")]
+
+
 def test_quality(docs):
     got = quality.judged(simhash.pinned(quality.statistics(docs))).collect()
     assert len(got) == 12
