@@ -3,7 +3,7 @@
 Each host gets a reference page (smallest id). Every page of the host is aligned with it by simple tree matching, a
 dynamic program over ordered children with equal tags. Counts of matched and of equal leaves, added up per host with
 map-side sums, tell constant leaves (template) from varying slots (content). In a second pass a page is aligned again,
-its constant leaves fall away, and of the rest the article is taken, without regions whose element, role or class name
+its leaves that equal the template's constant ones fall away, and of the rest the article is taken, without regions whose element, role or class name
 marks menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
 
 References travel as skeletons (tags, depths, leaf hashes), so joining them with pages never ships a second html.
@@ -50,6 +50,8 @@ SHARE, LEAST_PAGES = 0.6, 4
 TEMPLATE_IN_ARTICLE = 0.2
 #: Skeletons of all hosts are broadcast up to so many bytes together, else joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Counts of equal pages are broadcast up to so many rows, else joined by shuffle.
+BROADCAST_COPIES = 200_000
 
 
 class Node:
@@ -129,12 +131,16 @@ def parse(html: str) -> Node:
     return root
 
 
+def digest(text: str) -> int:
+    return crc32(text.encode("utf-8", "replace"))
+
+
 def skeleton(root: Node) -> list[tuple[str, int, int]]:
     """(tag, depth, hash of a leaf's text) in page order."""
     out, todo = [], [(root, 0)]
     while todo:
         node, depth = todo.pop()
-        out.append((node.tag, depth, crc32(node.text.encode("utf-8", "replace")) if node.tag == "#t" else 0))
+        out.append((node.tag, depth, digest(node.text) if node.tag == "#t" else 0))
         todo.extend((k, depth + 1) for k in reversed(node.kids))
     return out
 
@@ -197,8 +203,12 @@ def matched(page: Node, ref: Node, most: int = 40_000) -> None:
                 todo.append((u, v))
 
 
-def main_text(root: Node, constant: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article in page order, two line ends between them."""
+def main_text(root: Node, constant: dict[int, int] | None = None) -> str:
+    """Blocks of the article in page order, two line ends between them; constant: place and text hash of the template's leaves."""
+    known = constant or {}
+
+    def fixed(v: Node) -> bool:
+        return v.key in known and known[v.key] == digest(v.text)
 
     def size(node: Node) -> int:
         total, todo = 0, [node]
@@ -214,7 +224,7 @@ def main_text(root: Node, constant: frozenset[int] = frozenset()) -> str:
         v = todo.pop()
         if v.tag in found:
             found[v.tag].append(v)
-        own = sum(len(k.text) for c in v.kids if not c.out for k in ([c] if c.tag == "#t" else c.kids if c.tag == "p" else ()) if k.key not in constant)
+        own = sum(len(k.text) for c in v.kids if not c.out for k in ([c] if c.tag == "#t" else c.kids if c.tag == "p" else ()) if not fixed(k))
         best = max(best, (own, v), key=lambda t: t[0])
         todo.extend(k for k in v.kids if not k.out)
     tops = found["article"] or found["main"]
@@ -226,10 +236,11 @@ def main_text(root: Node, constant: frozenset[int] = frozenset()) -> str:
             leaves.append(v)
         elif not (v.tag in ("ul", "ol", "table") and menu(v)):
             todo.extend(k for k in reversed(v.kids) if not k.out)
-    fixed = sum(len(v.text) for v in leaves if v.key in constant)
-    if tops and fixed > TEMPLATE_IN_ARTICLE * sum(len(v.text) for v in leaves):
-        constant = frozenset()  # pages of one article, not a template
-    return "\n\n".join(v.text for v in leaves if v.key not in constant)
+    own = [v for v in leaves if not fixed(v)]
+    dropped, whole = sum(len(v.text) for v in leaves if fixed(v)), sum(len(v.text) for v in leaves)
+    if not own or tops and dropped > TEMPLATE_IN_ARTICLE * whole:
+        own = leaves  # pages of one article, not a template
+    return "\n\n".join(v.text for v in own)
 
 
 def menu(node: Node) -> bool:
@@ -262,8 +273,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, int], list[int]] = {}
-            for host, html_, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "ref"))):
+            seen: dict[tuple[str, int], list[float]] = {}
+            for host, html_, ref, w in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "ref", "w"))):
                 rows_ = json.loads(ref)
                 page = parse(html_)
                 matched(page, grown(rows_))
@@ -271,16 +282,21 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 while todo:
                     v = todo.pop()
                     if v.tag == "#t" and v.key >= 0:
-                        c = seen.setdefault((host, v.key), [0, 0])
-                        c[0] += 1
-                        c[1] += crc32(v.text.encode("utf-8", "replace")) == rows_[v.key][2]
+                        c = seen.setdefault((host, v.key), [0.0, 0.0])
+                        c[0] += w
+                        c[1] += w * (digest(v.text) == rows_[v.key][2])
                     todo.extend(v.kids)
             if seen:
                 yield pa.RecordBatch.from_pydict({"host": [k[0] for k in seen], "leaf": [k[1] for k in seen], "n": [c[0] for c in seen.values()], "same": [c[1] for c in seen.values()]})
 
     keyed = rows.join(F.broadcast(refs) if small else spread(refs), "host")
-    counts = keyed.select("host", "html", "ref").mapInArrow(count, "host string, leaf long, n long, same long").groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    fixed = counts.filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SHARE * F.col("n"))).groupBy("host").agg(F.sort_array(F.collect_list("leaf")).alias("fixed"))
+    # Equal pages of a host count as one: each of c copies by 1 / c.
+    copies = pinned(rows.groupBy("host", F.xxhash64("html").alias("payload")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    few = copies.count() <= BROADCAST_COPIES
+    keyed = keyed.withColumn("payload", F.xxhash64("html")).join(F.broadcast(copies) if few else spread(copies), ["host", "payload"], "left")
+    keyed = keyed.select("host", "html", "ref", (F.lit(1.0) / F.coalesce("c", F.lit(1))).alias("w"))
+    counts = keyed.mapInArrow(count, "host string, leaf long, n double, same double").groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    fixed = counts.filter((F.col("n") >= LEAST_PAGES - 1e-6) & (F.col("same") >= SHARE * F.col("n") - 1e-6)).groupBy("host").agg(F.sort_array(F.collect_list("leaf")).alias("fixed"))
     known = pinned(refs.join(fixed, "host"))
     small = (known.agg(F.sum(F.octet_length("ref") + 8 * F.size("fixed") + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
@@ -288,9 +304,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         out = []
         for h, r, f in zip(html_.to_pylist(), ref.to_pylist(), fixed_.to_pylist()):
             page = parse(h)
+            rows_ = json.loads(r) if f else []
             if f:
-                matched(page, grown(json.loads(r)))
-            out.append(main_text(page, frozenset(f or ())))
+                matched(page, grown(rows_))
+            out.append(main_text(page, {k: rows_[k][2] for k in f or ()}))
         return pa.array(out, pa.string())
 
     text.__annotations__ = {"html_": pa.Array, "ref": pa.Array, "fixed_": pa.Array, "return": pa.Array}

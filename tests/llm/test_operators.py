@@ -171,6 +171,20 @@ def test_html(spark):
     assert got[9].text == "plain text\n\nmore" and got[10].text == "" and got[11].n_chars == 0
 
 
+def test_html_keeps_what_differs_from_the_template(spark):
+    page = "<html><body><div>{}</div><p>{}</p><p>{}</p></body></html>"
+    rows = [(i, "http://h.com/", page.format("News" if i < 7 else f"Own heading {i}", "Same words", f"body {i} with many more words")) for i in range(10)]
+    rows += [(20 + i, "http://c.com/", page.format("a", "b", "c")) for i in range(6)] + [(30 + i, "http://c.com/", page.format(f"a{i}", f"b{i}", f"c{i}")) for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[8] == "Own heading 8\n\nbody 8 with many more words" and got[1] == "body 1 with many more words"
+    page_tree, ref = html.parse(page.format("Own", "Same", "own body text")), html.parse(page.format("News", "Same", "y"))
+    rows_ = html.skeleton(ref)
+    html.matched(page_tree, html.grown(rows_))
+    leaves = {k: r[2] for k, r in enumerate(rows_) if r[0] == "#t"}
+    assert "Same" not in html.main_text(page_tree, leaves) and "own body text" in html.main_text(page_tree, leaves)
+    assert all(got[20 + i] for i in range(6)) and all(f"b{i}" in got[30 + i] for i in range(4))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (None, 0, None, "z")]
     got = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
