@@ -8,8 +8,8 @@ marks menus, headers, footers, sidebars, notices, adverts, forms, scripts or com
 
 References travel as skeletons (tags, depths, leaf hashes), so joining them with pages never ships a second html.
 Defined results: null or empty html gives an empty text; unclosed, stray and cut-off tags are repaired as they come; a
-page on a host with few pages is judged by its own structure alone; a page without article or main gives the container
-with most paragraph text; equal pages and repeated rows each get their row; an empty table gives no rows. Extra columns
+page on a host with few pages is judged by its own structure alone; all its articles (or mains) in page order count, and a page without
+any gives the smallest element around all its paragraphs (without paragraphs: around all its text) that is not template; equal pages and repeated rows each get their row; an empty table gives no rows. Extra columns
 are not read.
 """
 
@@ -210,26 +210,39 @@ def main_text(root: Node, constant: dict[int, int] | None = None) -> str:
     def fixed(v: Node) -> bool:
         return v.key in known and known[v.key] == digest(v.text)
 
-    def size(node: Node) -> int:
-        total, todo = 0, [node]
-        while todo:
-            v = todo.pop()
-            total += len(v.text)
-            todo.extend(k for k in v.kids if not k.out)
-        return total
-
     found: dict[str, list[Node]] = {"article": [], "main": []}
-    best, todo = (0, root), [root]
+    above: dict[Node, Node | None] = {root: None}
+    holders: dict[bool, list[Node]] = {True: [], False: []}
+    todo = [root]
     while todo:
         v = todo.pop()
         if v.tag in found:
             found[v.tag].append(v)
-        own = sum(len(k.text) for c in v.kids if not c.out for k in ([c] if c.tag == "#t" else c.kids if c.tag == "p" else ()) if not fixed(k))
-        best = max(best, (own, v), key=lambda t: t[0])
-        todo.extend(k for k in v.kids if not k.out)
+        for c in v.kids:
+            if c.tag == "#t" and not fixed(c):
+                holders[v.tag == "p"].append(v)
+            elif not c.out:
+                above[c] = v
+        todo.extend(k for k in reversed(v.kids) if not k.out)
+
+    def line(v: Node | None) -> list[Node]:
+        out = []
+        while v is not None:
+            out.append(v)
+            v = above[v]
+        return out[::-1]
+
     tops = found["article"] or found["main"]
-    top = max(tops, key=size) if tops else best[1]
-    leaves, todo = [], [top]
+    if tops:
+        inside = set(tops)
+        start = [t for t in tops if inside.isdisjoint(line(t)[:-1])]
+    else:
+        blocks = holders[True] or holders[False]
+        shared = line(blocks[0] if blocks else root)
+        for v in blocks[1:]:
+            shared = [x for x, y in zip(shared, line(v)) if x is y]
+        start = [above[shared[-1]] if shared[-1].tag == "p" else shared[-1]]
+    leaves, todo = [], start[::-1]
     while todo:
         v = todo.pop()
         if v.tag == "#t":

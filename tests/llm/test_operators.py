@@ -185,6 +185,12 @@ def test_html_keeps_what_differs_from_the_template(spark):
     assert all(got[20 + i] for i in range(6)) and all(f"b{i}" in got[30 + i] for i in range(4))
 
 
+def test_html_takes_all_parts():
+    assert html.main_text(html.parse("<div id=sidebar><p>s</p></div><div><section><p>one</p></section><section><p>two and more</p></section></div>")) == "one\n\ntwo and more"
+    assert html.main_text(html.parse("<p>before</p><article><p>one</p><article><p>in</p></article></article><article><p>two, the longest part</p></article>")) == "one\n\nin\n\ntwo, the longest part"
+    assert html.main_text(html.parse("<div>loose</div><div><h1>T</h1><p>only</p></div>")) == "T\n\nonly"
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (None, 0, None, "z")]
     got = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
