@@ -4,7 +4,8 @@ Each host gets a reference page (smallest id). Every page of the host is aligned
 dynamic program over ordered children with equal tags. Counts of matched and of equal leaves, added up per host with
 map-side sums, tell constant leaves (template) from varying slots (content). In a second pass a page is aligned again,
 its leaves that equal the template's constant ones fall away, and of the rest the article is taken, without regions whose element, role or class name
-marks menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.
+marks menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments. A class name marks as a whole or as
+a compound of known words ("left-sidebar", not "has-sidebar"), and never what holds the article (see :func:`spare`).
 
 References travel as skeletons (tags, depths, leaf hashes), so joining them with pages never ships a second html.
 Defined results: null or empty html gives an empty text; unclosed, stray and cut-off tags are repaired as they come; a
@@ -41,6 +42,12 @@ MARKS = frozenset(
     " header masthead footer foot copyright notice notices cookie cookies consent alert popup modal newsletter subscribe signup login form search share sharing social related"
     " recommended comment comments commentlist reply replies disqus respond widget toolbar pagination pager complementary contentinfo".split()
 )
+#: Words that go with a mark in one class name; the second ones not with header, which may hold the article's heading.
+PLACES = frozenset(
+    "site page main global top bottom left right primary secondary first second upper lower fixed sticky list item items bar box block area container wrapper wrap inner outer section region group"
+    " panel module row col column links link button buttons icons media slot unit banner message policy overlay google leaderboard text content info js id c".split()
+)
+OWNERS = frozenset("article post posts entry story blog".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -123,14 +130,60 @@ def parse(html: str) -> Node:
                 if stack[-1].tag == "p" or stack[-1].tag in CLOSES.get(tag, ()):
                     stack.pop()
                 names = " ".join(x for g in _NAMES.findall(attrs) for x in g if x).lower() if "=" in attrs else ""
-                marked = bool(names) and not MARKS.isdisjoint(re.split(r"[^a-z]+", names)) and tag not in ("html", "body")
+                marked = any(map(marks, names.split())) and tag not in ("html", "body")
                 node = Node(tag, tag in DROPPED or marked or "hidden" in attrs.lower().split())
                 stack[-1].kids.append(node)
                 stack.append(node)
     flush()
+    spare(root)
     return root
 
 
+def marks(token: str) -> bool:
+    """A class, id or role that is a mark, or a compound of marks and of words that say where a region is or what holds it."""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    found = [w for w in words if w in MARKS]
+    return bool(found) and all(w in MARKS or w in PLACES or w in OWNERS and "header" not in found for w in words)
+
+
+def spare(root: Node) -> None:
+    """Takes the mark off what is or holds the main element; where no article or main is left unmarked, also off what is or holds an article with, or simply holds, more than half of the page's paragraph text."""
+    order, above, todo = [], {root: None}, [root]
+    while todo:
+        v = todo.pop()
+        order.append(v)
+        for k in v.kids:
+            above[k] = v
+        todo.extend(v.kids)
+    if not any(v.out for v in order):
+        return
+    text = {v: 0 for v in order}
+    for v in reversed(order):
+        text[v] += len(v.text) if v.tag == "#t" and above[v].tag == "p" else 0
+        if above[v] is not None:
+            text[above[v]] += text[v]
+
+    def free(v: Node | None) -> None:
+        while v is not None:
+            v.out, v = False, above[v]
+
+    def reached(v: Node | None) -> bool:
+        while v is not None:
+            if v.out:
+                return False
+            v = above[v]
+        return True
+
+    for v in order:
+        if v.tag == "main":
+            free(v)
+    if any(v.tag in ("article", "main") and reached(v) for v in order):
+        return
+    for v in order:
+        if v.out and 2 * text[v] > text[root]:
+            free(v)
+
+
 def digest(text: str) -> int:
     return crc32(text.encode("utf-8", "replace"))
 

@@ -191,6 +191,15 @@ def test_html_takes_all_parts():
     assert html.main_text(html.parse("<div>loose</div><div><h1>T</h1><p>only</p></div>")) == "T\n\nonly"
 
 
+def test_html_layout_classes_mark_nothing():
+    out = lambda h: html.main_text(html.parse(h))
+    for top in ("<article class='post has-sidebar'>", "<div id='page' class='no-sidebar'>", "<div class='article with-comments'>", "<div class='content side-by-side'>", "<form class=comments>", "<section class=sidebar><article>"):
+        assert out(f"<nav>menu</nav>{top}<p>The article.</p><p>More of it.</p><div class='left-sidebar'>out</div>") == "The article.\n\nMore of it.", top
+    assert out("<article><p>a</p></article><section class=comments><article class=comment><p>long comments here</p></article></section>") == "a"
+    assert out("<div class=sidebar><main><p>a</p></main></div>") == "a"
+    assert [html.marks(x) for x in ("site-header", "comment-list", "ad_slot_2", "post-comments", "post-header", "content", "has-sidebar")] == [True, True, True, True, False, False, False]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (None, 0, None, "z")]
     got = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
