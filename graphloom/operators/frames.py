@@ -9,14 +9,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.functions.exprs import collated
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets a temporary folder; a cluster must name it."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="graphloom-")
+    if not held.isDefined():
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """df, computed and cut from its lineage in the session's shared checkpoint folder (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    """df, computed and cut from its lineage in the shared checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt round robin, so that a join after it shuffles this side anew and adaptive execution may split a skewed key."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ids(spark: SparkSession, values: list[str]) -> DataFrame:
     """A literal table of ids; made by SQL, so no Python worker is needed."""
     return spark.range(1).select(F.explode(F.array(*(F.lit(v) for v in values)).cast("array<string>")).alias("id"))

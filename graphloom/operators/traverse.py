@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions.exprs import walked, weight
-from graphloom.operators.frames import by_id, pinned
+from graphloom.operators.frames import by_id, pinned, spread
 from graphloom.schema import allowed
 
 
@@ -25,7 +25,7 @@ def reached(seeds: DataFrame, steps: DataFrame, depth: int, cap: int | None = No
     level = seeds.select("id").distinct()
     levels = [level.withColumn("hop", F.lit(0))]
     for k in range(1, depth + 1):
-        level = level.join(steps, level["id"] == steps["a"]).select(F.col("b").alias("id")).distinct()
+        level = spread(level).join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
         if k % 3 == 0:
             level = pinned(level)
         levels.append(level.withColumn("hop", F.lit(k)))
@@ -43,7 +43,7 @@ def walk_scores(seeds: DataFrame, edges: DataFrame, depth: int, structural: bool
     steps = steps.groupBy("a", "b").agg(F.max("w").alias("w"))
     level, rounds = seeds.select("id", "score"), []
     for _ in range(depth):
-        level = level.join(steps, level["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.max(walked(F.col("score"), F.col("w"))).alias("score")).filter("score > 0")
+        level = spread(level).join(steps, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.max(walked(F.col("score"), F.col("w"))).alias("score")).filter("score > 0")
         rounds.append(level)
     every = rounds[0]
     for more in rounds[1:]:
@@ -51,19 +51,18 @@ def walk_scores(seeds: DataFrame, edges: DataFrame, depth: int, structural: bool
     return every.groupBy("id").agg(F.max("score").alias("proximity"))
 
 
-def closure(seeds: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame:
-    """seeds(id) and whatever pairs (a, b: if a then b) lead to, round by round from the newly found alone."""
+def closure(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """seeds(id) and whatever pairs (a, b: if a then b) lead to, round by round from the newly found alone; it ends with the last new id."""
     found = fresh = pinned(seeds.select("id").distinct())
-    for _ in range(most):
+    while True:
         fresh = pinned(fresh.join(pairs, fresh["id"] == pairs["a"]).select(F.col("b").alias("id")).distinct().join(found, "id", "left_anti"))
         if fresh.isEmpty():
             return found
         found = pinned(found.unionByName(fresh))
-    raise RuntimeError("the closure did not settle")
 
 
-def connected(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
-    """(id, root): nodes(id) and the smallest id of their undirected component over links (a, b), by large and small stars."""
+def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root): nodes(id) and the smallest id of their undirected component over links (a, b), by large and small stars until no edge moves."""
 
     def sum_of(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -73,14 +72,13 @@ def connected(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
 
     edges = pinned(down(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     before = sum_of(edges)
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = pinned(down(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        large = pinned(down(both.filter("v > u").join(spread(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = pinned(down(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))))
+        edges = pinned(down(large.join(spread(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))))
         after = sum_of(edges)
         if after == before:
             return nodes.select("id").distinct().join(edges.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
         before = after
-    raise RuntimeError("components did not settle")

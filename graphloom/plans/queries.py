@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions.exprs import common_prefix, edge_key, is_test_path, module_key, name_variants
-from graphloom.operators.frames import pinned
 from graphloom.operators.queries import Graph
 from graphloom.operators.resolver import resolved
 from graphloom.operators.rollup import degrees, first_edges, merged_nodes, module_graph, upserted
 from graphloom.operators.traverse import closure
-from graphloom.sources.derived import CTES, graph
+from graphloom.sources.derived import CTES, stored
 from graphloom.streaming.changes import coalesced, queued, sessions
 
 SUPPLIER, CUSTOMER, BRAND = "Supplier#000000001", "Customer#000000001", "Brand#2"
@@ -26,7 +25,7 @@ def query(name: str, sql: str, graph_sql: bool = True):
     """Registers a function of (Graph) and its SQL, which may use the derived nodes and edges."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Graph(*map(pinned, graph(spark, sf_dir))))
+        QUERIES[name] = lambda spark, sf_dir: f(Graph(*stored(spark, sf_dir)))
         ORACLE_SQL[name] = f"WITH RECURSIVE {CTES}{sql}" if graph_sql else sql
         return f
 

@@ -1,4 +1,4 @@
-"""Versioned snapshots of the graph: Parquet per version and a pointer file that is swapped last."""
+"""Versioned snapshots of the graph: Parquet per version and a numbered pointer file that appears last."""
 
 from __future__ import annotations
 
@@ -12,7 +12,11 @@ from graphloom.operators.rollup import upserted
 
 
 class Store:
-    """A graph below a path on any file system that Spark reaches. Readers follow the pointer, so they see a whole version or the one before."""
+    """A graph below a path on any file system that Spark reaches.
+
+    A version becomes visible by one rename to a pointer file with the next number; pointers are never removed or
+    overwritten, and readers take the highest one, so they see a whole version or the one before at any moment.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -21,22 +25,23 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        top, fs = self._fs("versions")
+        return sorted(f.getPath().getName() for f in fs.listStatus(top) if f.getPath().getName().isdigit()) if fs.exists(top) else []
+
     def version(self) -> str | None:
-        p, fs = self._fs("CURRENT")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])["version"]
+        found = self._pointers()
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{found[-1]}").first()[0])["version"] if found else None
 
     def _point(self, version: str) -> None:
-        new, fs = self._fs(f".CURRENT-{version}")
+        new, fs = self._fs(f"versions/.{version}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        old, _ = self._fs("CURRENT")
-        if fs.exists(old):
-            fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise RuntimeError("the pointer could not be swapped")
+        found = self._pointers()
+        to, _ = self._fs(f"versions/{int(found[-1]) + 1 if found else 1:012d}")
+        if fs.exists(to) or not fs.rename(new, to):
+            raise RuntimeError("another writer took this version's number; write again")
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         v = self.version()
@@ -52,7 +57,8 @@ class Store:
             nodes, edges = upserted(old_nodes, old_edges, nodes, edges, paths)
         v = uuid.uuid4().hex
         nodes.write.parquet(f"{self.path}/{v}/nodes")
-        edges.repartition("type").write.parquet(f"{self.path}/{v}/edges")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        edges.repartitionByRange(parts, "type", "src", "dst").write.parquet(f"{self.path}/{v}/edges")
         found, members = Graph(*(self.spark.read.parquet(f"{self.path}/{v}/{t}") for t in ("nodes", "edges"))).clusters()
         found.write.parquet(f"{self.path}/{v}/clusters")
         members.write.parquet(f"{self.path}/{v}/members")
