@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from graphloom.operators.frames import removed, shared_dir, spread
+
+__all__ = ["ascii_lower", "fresh", "pinned", "removed", "shared_dir", "spread", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -13,29 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = sc._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="graphloom-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
-
-
 def pinned(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder; its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt round robin, so that a join after it shuffles this side anew and adaptive execution may split a skewed key."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     taken, name = {c.lower() for c in df.columns}, stem
