@@ -1,16 +1,20 @@
 """Operator 10, licence scans with a trained paragraph classifier; scoring uses DataFrame expressions only.
 
-A sparse logistic regression over word n-grams is trained from the templates below, plain sentences and cut or padded
-variants of both, in a fixed order, so every session has the same weights. Scores are calibrated on a held-out half. A
-paragraph (a line with an anchor word) gets the family whose calibrated probability is at least one half, if a template
-of that family is contained in it: 0.8 or more of its five-word shingles. Otherwise it is ``unknown`` when it looks like
-a licence at all, else it is none.
-
-The weight table is bounded by the templates (a few thousand n-grams) and broadcast; paragraphs are exploded into
-n-grams inside one stage and only paragraphs with an anchor word are shuffled, keyed by (id, text hash, line).
-
-Defined results: null, empty and blank text has no paragraph; digits count as one number word; repeated documents give
-repeated rows; ties between families go to the later name; an empty table gives no rows. Extra columns are not read.
+A sparse logistic regression (L1) over the presence of word n-grams is trained from the templates below, other licence
+talk, plain sentences, and cut or padded variants of all, the same in every session. Scores are calibrated on templates
+held out of training, a third at a time. A paragraph is a run of lines with letters or digits, so a notice wrapped over
+lines or set in comment marks is whole; it is scored in overlapping windows of its words. A window gets the family whose
+calibrated probability is highest and at least one half, if a template of that family is contained in it: 0.8 or more of
+its five-word shingles. A paragraph without such a window is ``unknown`` if one of its windows looks like a licence.
+
+Not every window is scored, but every one that could matter: the gate is a set of words taken from the weights such that
+a window without any of them cannot reach one half in any class (see :func:`gate`). The weight table is bounded by the
+templates (some hundred n-grams) and broadcast; only sums of gated windows are shuffled, rows kept apart by a row number.
+
+Defined results: null, empty and blank text has no paragraph; a line without an ASCII letter or digit ends a paragraph;
+digits count as one number word; repeated documents give repeated rows with equal results; ties between families go to
+the later name; a template of under five words must be there whole; an empty table gives no rows. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.llm.common import ascii_lower, spread, table
@@ -29,11 +34,16 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "This project is licensed under the Apache 2.0 license.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.",
     ),
     "cc": (
         "Licensed under CC BY-NC 4.0.",
@@ -41,6 +51,7 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This work is licensed under the Creative Commons Attribution-ShareAlike License.",
+        "To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -51,20 +62,27 @@ TEMPLATES = {
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "Released under MIT.",
+        "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
     "proprietary": (
         "All rights reserved. No part of this work may be reproduced without the prior written permission of the copyright holder.",
         "Copyright 2020. All rights reserved.",
+        "All rights reserved.",
+        "This document is confidential and proprietary and may not be copied or disclosed without written permission.",
     ),
 }
 #: Licence talk of no family, and plain talk.
@@ -76,11 +94,20 @@ PLAIN = (
     "She passed her driving licence test in the spring.", "The version of the story that we heard was different.", "The general public was invited to the opening.", "We work under the terms of the old contract.",
     "He asked for permission to leave the room.", "All the people in the house had a copy of the book.", "The warranty of the car ran out last year.", "They released the new album under a false name.",
     "The foundation gave free meals to any person in need.", "Copyright law is taught in the second year.",
+    "The source of the river lies in the hills, and its name is old.", "All the rights of the people were reserved for a later day.", "This project is free for children under ten.",
+    "The software on my phone is slow, so I bought a new version.", "You may obtain a ticket at the door or use the one you have.", "The work was distributed among the students of the school.",
+    "They shared the terms of the deal with the public and the press.", "A notice on the door said that the files were gone.", "The view from the general store is not what we expected.",
+    "He published two books in binary and source code, without any limits or conditions.",
 )
-ANCHORS = ("licen[sc]e", "copyright", "warranty", "redistribut", "rights reserved", "permission")
+#: Words too common to tell anything on their own; an n-gram of them alone is no feature.
+COMMON = frozenset("a an and any are as at be but by can do for from has have if in is it its may must no not of on one or shall so that the their these this to use was were will with you 0".split())
 FAMILIES = tuple(TEMPLATES)
 CLASSES = (*FAMILIES, "licence")
 SHINGLE, CONTAINED, NGRAMS = 5, 0.8, 3
+#: A paragraph is scored in windows of so many words, a step apart; templates have at most WINDOW - STEP words, so each notice lies whole in a window.
+WINDOW, STEP = 48, 16
+#: Templates are held out in so many parts, one at a time, to calibrate scores.
+FOLDS = 3
 
 
 def words_of(text: str) -> list[str]:
@@ -93,58 +120,94 @@ def grams(words: list[str], sizes: range) -> set[str]:
     return {" ".join(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
 
 
-def samples(seed: int = 7) -> list[tuple[set[str], set[str]]]:
-    """(n-grams, classes) of templates, other licence talk and plain sentences, each whole, cut and padded with plain words."""
+def features(words: list[str]) -> set[str]:
+    return {g for g in grams(words, range(1, NGRAMS + 1)) if not COMMON.issuperset(g.split())}
+
+
+def samples(seed: int = 7) -> list[tuple[set[str], set[str], int]]:
+    """(n-grams, classes, part) of templates, other licence talk and plain sentences, each whole, cut and padded with plain words; a text and its variants share a part."""
     rng, out = random.Random(seed), []
     filler = [w for s in PLAIN for w in words_of(s)]
-    said = [(t, {f, "licence"}) for f, ts in TEMPLATES.items() for t in ts] + [(t, {"licence"}) for t in OTHER_LICENCE] + [(t, set()) for t in PLAIN]
-    for text, classes in said:
+    said = [(t, {f, "licence"}, k) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)] + [(t, {"licence"}, k) for k, t in enumerate(OTHER_LICENCE)] + [(t, set(), k) for k, t in enumerate(PLAIN)]
+    for text, classes, k in said:
         w = words_of(text)
         pad = [rng.choice(filler) for _ in range(12)]
-        for variant in (w, [*pad[:6], *w], [*w, *pad[6:]], [*pad[:6], *w, *pad[6:]], w[: max(4, len(w) - 2)]):
-            out.append((grams(variant, range(1, NGRAMS + 1)), classes))
+        for variant in (w, [*pad[:6], *w], [*w, *pad[6:]], [*pad[:6], *w, *pad[6:]], w[: max(3, len(w) - 2)]):
+            out.append((features(variant), classes, k % FOLDS))
     return out
 
 
-def fitted(rows: list, name: str, epochs: int = 80, rate: float = 0.2, shrink: float = 1e-3) -> tuple[dict[str, float], float]:
-    """Weights and bias of one class by stochastic gradient in a fixed order; an n-gram counts by its share of the sample's root."""
-    weights: dict[str, float] = {}
-    bias = 0.0
-    for _ in range(epochs):
-        for found, classes in rows:
-            z = bias + sum(weights.get(g, 0.0) for g in found)
-            miss = (1.0 if name in classes else 0.0) - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            step = rate * miss / math.sqrt(len(found) or 1)
-            bias += step
-            for g in found:
-                weights[g] = weights.get(g, 0.0) * (1 - rate * shrink) + step
-    return {g: round(v, 6) for g, v in weights.items() if abs(v) >= 1e-4}, round(bias, 6)
-
-
-def calibration(rows: list, name: str) -> tuple[float, float]:
-    """Slope and offset of the log-odds: trained on one half, fitted on the scores of the other."""
-    weights, bias = fitted(rows[::2], name)
-    held = [(bias + sum(weights.get(g, 0.0) for g in f), name in c) for f, c in rows[1::2]]
-    a, b = 1.0, 0.0
-    for _ in range(200):
-        for z, y in held:
-            miss = y - 1 / (1 + math.exp(-max(-30.0, min(30.0, a * z + b))))
-            a, b = a + 0.002 * miss * z, b + 0.002 * miss
-    return round(max(a, 0.1), 6), round(b, 6)
+def trained(x: np.ndarray, y: np.ndarray, shrink: float = 5e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (n-grams, classes) and biases of logistic regressions with an L1 penalty, by accelerated proximal gradient."""
+    n, d = x.shape
+    rate = 4 * n / (np.linalg.norm(x, 2) ** 2 + n)
+    w, b = np.zeros((d, y.shape[1])), np.zeros(y.shape[1])
+    vw, vb, t = w, b, 1.0
+    for _ in range(steps):
+        miss = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30))) - y
+        step = vw - rate * (x.T @ miss) / n
+        nw, nb = np.sign(step) * np.maximum(np.abs(step) - rate * shrink, 0), vb - rate * miss.mean(axis=0)
+        nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
+        w, b, t = nw, nb, nt
+    return w, b
 
 
 _MODEL: dict[str, tuple] = {}
+HELD_OUT: dict[str, tuple[int, int, int]] = {}
 
 
 def model() -> dict[str, tuple]:
-    """Per class: weights, bias, slope, offset; made once a process."""
-    if not _MODEL:
-        rows = samples()
-        for name in CLASSES:
-            _MODEL[name] = (*fitted(rows, name), *calibration(rows, name))
+    """Per class: weights by n-gram, bias, slope and offset of the calibrated log-odds; made once a process.
+
+    HELD_OUT then holds, per class, how many held-out samples of it there were, how many of them were found, and how many
+    of other samples were taken for it.
+    """
+    if _MODEL:
+        return _MODEL
+    rows = samples()
+    names = sorted({g for found, _, _ in rows for g in found})
+    at = {g: k for k, g in enumerate(names)}
+    x, y, part = np.zeros((len(rows), len(names))), np.zeros((len(rows), len(CLASSES))), np.array([r[2] for r in rows])
+    for i, (found, classes, _) in enumerate(rows):
+        x[i, [at[g] for g in found]] = 1
+        y[i] = [c in classes for c in CLASSES]
+    held = np.zeros_like(y)
+    for k in range(FOLDS):
+        w, b = trained(x[part != k], y[part != k])
+        held[part == k] = x[part == k] @ w + b
+    w, b = trained(x, y)
+    for c, name in enumerate(CLASSES):
+        slope, offset = 1.0, 0.0
+        for _ in range(2000):
+            miss = y[:, c] - 1 / (1 + np.exp(-np.clip(slope * held[:, c] + offset, -30, 30)))
+            slope, offset = max(0.1, slope + 0.05 * float((miss * held[:, c]).mean())), offset + 0.05 * float(miss.mean())
+        said = slope * held[:, c] + offset >= 0
+        HELD_OUT[name] = (int(y[:, c].sum()), int((said & (y[:, c] == 1)).sum()), int((said & (y[:, c] == 0)).sum()))
+        weights = {g: round(float(v), 6) for g, v in zip(names, w[:, c]) if abs(v) >= 1e-6}
+        _MODEL[name] = (weights, round(float(b[c]), 6), round(slope, 6), round(offset, 6))
     return _MODEL
 
 
+def gate() -> list[str]:
+    """Words such that, without any of them, no class reaches one half: what is left of its positive weights stays below what that takes."""
+    chosen: set[str] = set()
+    for weights, bias, slope, offset in model().values():
+        need = -offset / slope - bias
+        while True:
+            rest = {g: v for g, v in weights.items() if v > 0 and chosen.isdisjoint(g.split())}
+            if sum(rest.values()) < need:
+                break
+            if not rest:
+                raise ValueError("a class that holds without any word needs no gate")
+            gain: dict[str, float] = {}
+            for g, v in rest.items():
+                for word in set(g.split()) - COMMON:
+                    gain[word] = gain.get(word, 0.0) + v
+            chosen.add(max(sorted(gain), key=gain.__getitem__))
+    return sorted(chosen)
+
+
 def template_shingles() -> list[tuple[str, int, str]]:
     """(family, template number, shingle); a template under five words is one shingle."""
     out = []
@@ -164,18 +227,32 @@ def gram_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(g, [made[c][0].get(g, 0.0) for c in CLASSES], by.get(g, [])) for g in every], "gram string, w array<double>, t array<int>")
 
 
+def paragraphs(text: Column) -> Column:
+    """Runs of lines that have an ASCII letter or digit, in lower case, numbers as ``0``."""
+    lower = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), "[0-9]+", "0")
+    blank = F.regexp_replace(F.concat(F.lit("\n"), lower, F.lit("\n")), "\n[^0a-z\n]+(?=\n)", "\n")
+    return F.split(blank, "\n\n+")
+
+
 def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, line, family, p): lines that are licence text, family ``unknown`` where none is confirmed."""
+    """(row, id, h, par, families, p): paragraphs that are licence text; families is empty where none is confirmed. row tells repeated rows apart."""
     spark, made, shingles = docs.sparkSession, model(), template_shingles()
     sizes = sorted({*range(1, NGRAMS + 1), *(len(s.split()) for _, _, s in shingles)})
-    lines = docs.filter(F.col(text).rlike("(?i)" + "|".join(ANCHORS))).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("line", "said"))
-    asked = lines.filter(F.col("said").rlike("(?i)" + "|".join(ANCHORS)))
-    words = asked.select("id", "h", "line", F.filter(F.split(F.regexp_replace(ascii_lower(F.col("said")), "[0-9]+", "0"), "[^0-9a-z]+"), lambda x: x != "").alias("ws"))
+    words = gate()
+    some = r"(?<![0-9a-z])(?:" + "|".join(words) + ")(?![0-9a-z])"
+    # The row number is taken before paragraphs are exploded; beside the explode it would count paragraphs.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text).alias("t"))
+    base = rows.select("row", "id", F.xxhash64("t").alias("h"), F.posexplode(paragraphs(F.col("t"))).alias("par", "said"))
+    asked = base.filter(F.col("said").rlike(some)).select("row", "id", "h", "par", F.filter(F.split("said", "[^0-9a-z]+"), lambda x: x != "").alias("ws"))
+    last = f"cast(ceil(greatest(size(ws) - {WINDOW}, 0) / {STEP}) * {STEP} as int)"
+    wins = F.filter(F.expr(f"transform(sequence(0, {last}, {STEP}), i -> slice(ws, i + 1, {WINDOW}))"), lambda w: F.arrays_overlap(w, F.array(*map(F.lit, words))))
+    windows = asked.select("row", "id", "h", "par", F.posexplode(wins).alias("win", "ws"))
     each = [
         F.expr(f"if(size(ws) >= {n}, transform(sequence(1, size(ws) - {n - 1}), i -> concat_ws(' ', slice(ws, i, {n}))), cast(array() as array<string>))") for n in sizes
     ]
-    found = words.select("id", "h", "line", F.explode(F.array_distinct(F.concat(*each))).alias("gram")).join(F.broadcast(gram_table(spark)), "gram")
-    sums = found.groupBy("id", "h", "line").agg(
+    keys = ["row", "id", "h", "par"]
+    found = windows.select(*keys, "win", F.explode(F.array_distinct(F.concat(*each))).alias("gram")).join(F.broadcast(gram_table(spark)), "gram")
+    sums = found.groupBy(*keys, "win").agg(
         *(F.sum(F.get("w", F.lit(k))).alias(f"z{k}") for k in range(len(CLASSES))), F.flatten(F.collect_list("t")).alias("t")
     )
 
@@ -195,20 +272,20 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         return out
 
     best = F.array_max(F.array(*(F.struct((F.when(confirmed(f), p(k)).otherwise(F.lit(0.0))).alias("p"), F.lit(f).alias("family")) for k, f in enumerate(FAMILIES))))
-    scored = sums.select("id", "h", "line", best.alias("best"), p(len(FAMILIES)).alias("any"))
-    return scored.filter((F.col("best.p") >= 0.5) | (F.col("any") >= 0.5)).select(
-        "id", "h", "line", F.when(F.col("best.p") >= 0.5, F.col("best.family")).otherwise("unknown").alias("family"), F.greatest("best.p", "any").alias("p")
-    )
+    scored = sums.select(*keys, best.alias("best"), p(len(FAMILIES)).alias("any")).filter((F.col("best.p") >= 0.5) | (F.col("any") >= 0.5))
+    family = F.when(F.col("best.p") >= 0.5, F.col("best.family"))
+    return scored.groupBy(*keys).agg(F.array_sort(F.collect_set(family)).alias("families"), F.max(F.greatest("best.p", "any")).alias("p"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_paragraphs (lines with a non-blank), n_licence, n_unknown, families (sorted, comma-joined)."""
-    marked = licence_paragraphs(docs, id_col, text).distinct().groupBy(F.col("id").alias("hit_id"), F.col("h").alias("hit_h")).agg(
-        F.sum((F.col("family") != "unknown").cast("long")).alias("n_licence"), F.sum((F.col("family") == "unknown").cast("long")).alias("n_unknown"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("family") != "unknown", F.col("family")))), ",").alias("families"),
+    """One row per row of docs: id, n_paragraphs, n_licence (paragraphs with a family), n_unknown (licence talk without one), families (sorted, comma-joined)."""
+    known = (F.size("families") > 0).cast("long")
+    marked = licence_paragraphs(docs, id_col, text).groupBy("row", F.col("id").alias("hit_id"), F.col("h").alias("hit_h")).agg(
+        F.sum(known).alias("n_licence"), F.sum(1 - known).alias("n_unknown"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("families")
     )
-    lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), lines.cast("long").alias("n_paragraphs"))
+    marked = marked.drop("row").dropDuplicates(["hit_id", "hit_h"])
+    n = F.size(F.filter(paragraphs(F.col(text)), lambda x: x.rlike("[0a-z]")))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), n.cast("long").alias("n_paragraphs"))
     both = base.join(spread(marked), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
     zero = F.lit(0).cast("long")
     return both.select(F.col("id").alias(id_col), "n_paragraphs", F.coalesce("n_licence", zero).alias("n_licence"), F.coalesce("n_unknown", zero).alias("n_unknown"), F.coalesce("families", F.lit("")).alias("families"))
