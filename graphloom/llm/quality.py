@@ -1,44 +1,52 @@
 """Operator 8, quality rules with robust multivariate outliers; DataFrame expressions only.
 
 Every text gives a statistic vector. Hard rules reject first. What they leave is fitted per (language, source) by the
-minimum covariance determinant: concentration steps start from median and MAD and go on with the half of the rows that
-has the smallest Mahalanobis distance, a reweighting step follows, and rows beyond the cutoff are outliers. All fits are
-mergeable aggregates over a small checkpointed table of statistics, so a source with a third of all rows only adds
-partial sums. Scale floors keep the estimate regular where a statistic is constant in most rows.
+minimum covariance determinant, with deterministic starts: median and MAD, the spatial signs, and a hyperbolic tangent of
+the scaled values. From each start, concentration steps go on with the half of the rows that has the smallest Mahalanobis
+distance until the determinant falls no more; the start with the smallest determinant wins, a reweighting step follows,
+and rows beyond the cutoff are outliers. All fits are mergeable aggregates over a small checkpointed table, so a source
+with a third of all rows only adds partial sums. Values lie on a grid of 1 / UNIT and sums are exact integers; medians
+come from counts per grid value and distances are halved at a bin edge, so a verdict does not depend on how rows are
+dealt. FLOORS are added to the diagonal and keep the estimate regular where a statistic is constant in most rows.
 
 Defined results: null, empty or blank text has no words and fails the base rule; null language or source is a group of
-its own; a group too small for a covariance is judged by the floors around its median; ties at the half-sample
-threshold are all in; repeated rows count as often as they occur; an empty table gives no rows. Extra columns whose
-names clash with statistics are left alone, as statistics are made in a separate projection.
+its own; a group too small for a covariance is judged by the floors around its centre; ties at the half-sample threshold
+are all in; repeated rows count as often as they occur; an empty table gives no rows. Extra columns whose names clash
+with statistics are left alone, as statistics are made in a separate projection.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from graphloom.llm.common import pinned, spread, table
+from graphloom.llm.common import fresh, pinned, spread, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 FEATURES = ("f_len", "f_sym", "f_dup", "f_rep")
 #: Smallest standard deviation of each feature: ln mean word length, root symbol share, duplicate-line share, repeated-word share.
-FLOORS = (0.06, 0.04, 0.15, 0.15)
+FLOORS = (0.06, 0.04, 0.08, 0.08)
 #: Fixed values for four dimensions: chi-square quantiles 0.5 and 0.975, and the consistency factor 0.5 / P(chi2_6 <= 3.357).
 HALF_CHI2, REWEIGHT_CHI2, HALF_FACTOR = 3.357, 11.143, 2.11
 #: Chi-square quantile 0.999999 for four dimensions.
 CUTOFF = 33.38
 #: Parameter tables of at most so many groups are broadcast (about 150 bytes each); larger ones are joined by shuffle.
 BROADCAST_GROUPS = 20_000
+#: Rejected rows are broadcast up to so many (24 bytes each), else joined by shuffle.
+BROADCAST_REJECTED = 1_000_000
 KEYS = ("g_lang", "g_source")
+#: Grid of the features, and of the values that make up the two derived starts.
+UNIT, FINE = 10_000, 1_000_000
+#: Bins of distances per unit of their logarithm, and the fall of a determinant that is worth another step.
+BINS, FALL = 50, 1e-3
+STARTS = ("median", "sign", "tanh")
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", carry: bool = False) -> DataFrame:
-    """One row per row of docs: id, group and base statistics; carry keeps the row of docs as a struct ``row``."""
-    own = [F.struct("*").alias("row")] if carry else []
-    kept = ["row"] if carry else []
-    base = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.coalesce(F.col(text), F.lit("")).alias("t"), *own)
-    head = ["id", *KEYS, *kept]
+def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """One row per row of docs: id, h (a hash of text and group), group and base statistics."""
+    base = docs.select(F.col(id_col).alias("id"), row_hash(text, lang, source).alias("h0"), F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    head = ["id", "h0", *KEYS]
     split = base.select(
         *head,
         F.split(F.btrim("t", F.lit(BLANKS)), SPACE).alias("w0"),
@@ -68,14 +76,16 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang
         F.when(F.col("s").isNotNull(), F.expr("transform(filter(s, (e, k) -> get(s, k - 1).x <=> e.x or get(s, k + 1).x <=> e.x), e -> e.i)")).alias("at"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(p, p + 1, p + 2))))).cast("long")
-    # A filter on the statistics must not be pushed below them, where each use would make them again: no optimizer moves
-    # one past a column that is not deterministic.
-    still = [F.monotonically_increasing_id().alias("still")] if carry else []
     return placed.select(
-        *head, *still, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.col("none"), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words")
+        "id", F.col("h0").alias("h"), *KEYS, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.col("none"), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words")
     )
 
 
+def row_hash(text: str, lang: str, source: str) -> Column:
+    """What a verdict depends on; nulls are told from each other's places."""
+    return F.xxhash64(*(x for c in (text, lang, source) for x in (F.col(c).isNull(), F.col(c))))
+
+
 def with_features(stats: DataFrame) -> DataFrame:
     """Adds base_failed and the transformed statistic vector (null where there is no word)."""
     n = F.nullif(F.col("n_words"), F.lit(0).cast("long")).cast("double")
@@ -90,19 +100,19 @@ def with_features(stats: DataFrame) -> DataFrame:
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky factor in columns l_ij and centre m_i."""
+    """Squared Mahalanobis distance of q_i by forward substitution with the Cholesky factor in columns l_ij and centre m_i."""
     y: list[Column] = []
-    for i, f in enumerate(FEATURES):
-        v = F.col(f) - F.col(f"m{i}")
+    for i in range(len(FEATURES)):
+        v = F.col(f"q{i}") / F.lit(float(UNIT)) - F.col(f"m{i}")
         for j in range(i):
             v = v - F.col(f"l{i}{j}") * y[j]
         y.append(v / F.col(f"l{i}{i}"))
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _cholesky(params: DataFrame) -> DataFrame:
-    """Adds l_ij from c_ij, floors on the diagonal; a step per entry keeps expressions small."""
-    p = len(FEATURES)
+def _cholesky(params: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, m_i, l_ij, det) from c_ij, floors on the diagonal; a step per entry, over a small table of its own, keeps expressions small."""
+    p, params = len(FEATURES), pinned(params)
     for i in range(p):
         for j in range(i + 1):
             v = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0))
@@ -111,57 +121,111 @@ def _cholesky(params: DataFrame) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit((FLOORS[i] / 10) ** 2))) if i == j else v / F.col(f"l{j}{j}"))
-    return params.select(*KEYS, *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
-
-
-def _keyed(rows: DataFrame, params: DataFrame, small: bool) -> DataFrame:
-    renamed = params.withColumnsRenamed({k: f"p_{k}" for k in KEYS})
-    on = F.col("g_lang").eqNullSafe(F.col("p_g_lang")) & F.col("g_source").eqNullSafe(F.col("p_g_source"))
-    return rows.join(F.broadcast(renamed) if small else spread(renamed), on, "left").drop(*(f"p_{k}" for k in KEYS))
-
-
-def fit(vectors: DataFrame, steps: int = 3) -> tuple[DataFrame, bool]:
-    """Centre and Cholesky factor per group of vectors(g_lang, g_source, features); the flag says whether they may be broadcast."""
-    p = len(FEATURES)
-    mid = pinned(vectors.groupBy(*KEYS).agg(*(F.percentile_approx(f, 0.5).alias(f"m{i}") for i, f in enumerate(FEATURES))))
-    small = mid.count() <= BROADCAST_GROUPS
-    off = _keyed(vectors, mid, small)
-    mad = off.groupBy(*KEYS).agg(
-        *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
-        *(F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5), 2).alias(f"c{i}{i}") for i, f in enumerate(FEATURES)),
-    )
+    det = F.lit(1.0)
     for i in range(p):
-        for j in range(i):
-            mad = mad.withColumn(f"c{i}{j}", F.lit(0.0))
-    params = pinned(_cholesky(mad))
-    for step in range(steps + 1):
-        near = _keyed(vectors, params, small).select(*KEYS, *FEATURES, _distance().alias("d2"))
-        if step < steps:
-            half = pinned(near.groupBy(*KEYS).agg(F.percentile_approx("d2", 0.5).alias("cut")))
-            near, factor = _keyed(near, half, small).filter("d2 <= cut"), HALF_FACTOR
-        else:
-            near, factor = near.filter(F.col("d2") <= REWEIGHT_CHI2), 1.0
-        moments = near.groupBy(*KEYS).agg(
-            *(F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)),
-            *((F.lit(factor) * F.covar_pop(FEATURES[i], FEATURES[j])).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)),
-        )
-        params = pinned(_cholesky(moments))
-    return params, small
-
-
-def judged(stats: DataFrame, cutoff: float = CUTOFF, fitted: tuple[DataFrame, bool] | None = None) -> DataFrame:
+        det = det * F.pow(f"l{i}{i}", F.lit(2))
+    return params.select(*keys, *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)), det.alias("det"))
+
+
+def _keyed(rows: DataFrame, params: DataFrame, small: bool, how: str = "left", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    renamed = params.withColumnsRenamed({k: f"p_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    return rows.join(F.broadcast(renamed) if small else spread(renamed), on, how).drop(*(f"p_{k}" for k in keys))
+
+
+def _middle(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """(keys, mid): the lower median of a value on a grid, from counts per value."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy(*keys).orderBy(value)
+    whole = counts.withColumns({"up_to": F.sum("n").over(run), "all": F.sum("n").over(Window.partitionBy(*keys))})
+    return whole.filter(2 * F.col("up_to") >= F.col("all")).groupBy(*keys).agg(F.min(value).alias("mid"))
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """(KEYS, a0..a3) of rows(KEYS, q0..q3)."""
+    p = range(len(FEATURES))
+    long = rows.select(*KEYS, F.posexplode(F.array(*(F.col(f"q{i}") for i in p))).alias("i", "q"))
+    mids = _middle(long, (*KEYS, "i"), "q")
+    return mids.groupBy(*KEYS).agg(*(F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"a{i}") for i in p))
+
+
+def _sums(values: list[Column]) -> list[Column]:
+    """Exact sums of integers and of their products: s_i, s_ij, and their number n."""
+    out = [F.count(F.lit(1)).alias("n")]
+    for i, v in enumerate(values):
+        out.append(F.sum(v.cast("decimal(20,0)")).cast("double").alias(f"s{i}"))
+        out += (F.sum((v * values[j]).cast("decimal(20,0)")).cast("double").alias(f"s{i}{j}") for j in range(i + 1))
+    return out
+
+
+def _moments(rows: DataFrame, keys: tuple[str, ...], factor: float) -> DataFrame:
+    """(keys, m_i, c_ij) of rows(q_i)."""
+    p = range(len(FEATURES))
+    sums = rows.groupBy(*keys).agg(*_sums([F.col(f"q{i}") for i in p]))
+    centre = [(F.col(f"s{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in p]
+    spread_ = [(F.lit(factor) * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / UNIT**2).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
+    return sums.select(*keys, *centre, *spread_)
+
+
+def _starts(rows: DataFrame, small: bool) -> DataFrame:
+    """(KEYS, start, m_i, l_ij, det): medians with the MAD's diagonal, and the correlations of signs and of tanh scaled by it."""
+    p = range(len(FEATURES))
+    mid = pinned(_medians(rows))
+    off = _keyed(rows, mid, small)
+    mad = _medians(off.select(*KEYS, *(F.abs(F.col(f"q{i}") - F.col(f"a{i}")).alias(f"q{i}") for i in p))).select(*KEYS, *(F.greatest(F.col(f"a{i}") * 1.4826, F.lit(FLOORS[i] * UNIT)).alias(f"b{i}") for i in p))
+    scale = pinned(_keyed(mid, mad, small))
+    z = _keyed(rows, scale, small).select(*KEYS, *(((F.col(f"q{i}") - F.col(f"a{i}")) / F.col(f"b{i}")).alias(f"z{i}") for i in p))
+    norm = F.sqrt(sum(F.col(f"z{i}") * F.col(f"z{i}") for i in p) + F.lit(1e-12))
+    shapes = {"sign": [F.col(f"z{i}") / norm for i in p], "tanh": [F.tanh(f"z{i}") for i in p]}
+    out = scale.select(*KEYS, F.lit("median").alias("start"), *((F.col(f"a{i}") / UNIT).alias(f"m{i}") for i in p), *((F.pow(F.col(f"b{i}") / UNIT, F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
+    for name, values in shapes.items():
+        sums = z.groupBy(*KEYS).agg(*_sums([F.round(v * FINE).cast("long") for v in values]))
+        both = _keyed(sums, scale, small)
+        total = sum(F.col(f"s{i}{i}") for i in p)
+        shape = {(i, j): F.col(f"s{i}{j}") / F.nullif(total, F.lit(0.0)) * len(FEATURES) * F.col(f"b{i}") * F.col(f"b{j}") / UNIT**2 for i in p for j in range(i + 1)}
+        out = out.unionByName(both.select(*KEYS, F.lit(name).alias("start"), *((F.col(f"a{i}") / UNIT).alias(f"m{i}") for i in p), *(c.alias(f"c{i}{j}") for (i, j), c in shape.items())))
+    return _cholesky(out, (*KEYS, "start"))
+
+
+def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """Centre, Cholesky factor and determinant per group of vectors(g_lang, g_source, features); the flag says whether they may be broadcast."""
+    p, keys = range(len(FEATURES)), (*KEYS, "start")
+    rows = pinned(vectors.select(*KEYS, *(F.round(F.col(f) * UNIT).cast("long").alias(f"q{i}") for i, f in enumerate(FEATURES))))
+    small = rows.select(*KEYS).distinct().count() * len(STARTS) <= BROADCAST_GROUPS
+    best = pinned(_starts(rows, small).withColumn("det", F.lit(float("inf"))))  # a start is no half sample yet
+    live = best
+    while not live.isEmpty():
+        at = _keyed(rows, live, small, "inner").withColumn("bin", F.floor(F.ln(_distance() + F.lit(1e-6)) * BINS))
+        half = pinned(_middle(at.select(*keys, "bin"), keys, "bin"))
+        near = _keyed(at, half, small, "inner", keys).filter("bin <= mid")
+        found = _cholesky(_moments(near, keys, HALF_FACTOR), keys)
+        old = best.select(*keys, F.col("det").alias("before"))
+        live = pinned(_keyed(found, old, small, "inner", keys).filter(F.col("det") < F.col("before") * (1 - FALL)).drop("before"))
+        same = best.join(F.broadcast(live.select(*(F.col(k).alias(f"p_{k}") for k in keys))) if small else spread(live.select(*(F.col(k).alias(f"p_{k}") for k in keys))), [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys], "left_anti")
+        best = pinned(same.unionByName(live))
+    least = best.groupBy(*KEYS).agg(F.min_by(F.struct(*(c for c in best.columns if c not in keys)), F.struct("det", "start")).alias("b")).select(*KEYS, "b.*")
+    far = _keyed(rows, least, small).withColumn("d2", _distance()).filter(F.col("d2") <= REWEIGHT_CHI2)
+    reweighted = _cholesky(_moments(far, KEYS, 1.0), KEYS)
+    return pinned(reweighted), small
+
+
+def judged(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """stats with base_failed, distance2 and kept."""
     rows = with_features(stats)
-    params, small = fitted or fit(rows.filter("not base_failed").select(*KEYS, *FEATURES))
-    far = _keyed(rows, params, small).withColumn("distance2", _distance())
+    params, small = fit(rows.filter("not base_failed").select(*KEYS, *FEATURES))
+    far = _keyed(rows.withColumns({f"q{i}": F.round(F.col(f) * UNIT) for i, f in enumerate(FEATURES)}), params, small).withColumn("distance2", _distance())
     return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff))
 
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of docs that are kept, columns as they were; texts are read twice and never shuffled unless groups exceed the broadcast bound."""
-    small = pinned(statistics(docs, id_col, text, lang, source))
-    fitted = fit(with_features(small).filter("not base_failed").select(*KEYS, *FEATURES))
-    return judged(statistics(docs, id_col, text, lang, source, carry=True), cutoff, fitted).filter("kept and still >= 0").select("row.*")
+    """The rows of docs that are kept, columns as they were; statistics are made once, and rows to drop join by (id, hash of text and group)."""
+    drop = pinned(judged(pinned(statistics(docs, id_col, text, lang, source)), cutoff).filter("not kept").select(F.col("id").alias("drop_id"), F.col("h").alias("drop_h")).distinct())
+    few = drop.count() <= BROADCAST_REJECTED
+    mark = fresh(docs, "row_hash")
+    marked = docs.withColumn(mark, row_hash(text, lang, source))
+    return marked.join(F.broadcast(drop) if few else spread(drop), marked[id_col].eqNullSafe(F.col("drop_id")) & (marked[mark] == F.col("drop_h")), "left_anti").drop(mark)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
