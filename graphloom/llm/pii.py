@@ -1,13 +1,15 @@
 """Operator 6, personal data: patterns propose spans, checksums confirm them, context words move the score.
 
 The base kinds (email, ip, card, phone) always stay; their score tells how sure the span is. The method adds ``iban``
-spans (mod 97) and ``card_like`` numbers, which fail Luhn but stand beside words that announce a card. All patterns run
+spans (mod 97; of several possible ends the furthest that passes) and ``card_like`` numbers, which fail Luhn but stand
+beside words that announce a card; these stay from a score of KEEP on. All patterns run
 in linear time: an address is grown from its ``@`` to both sides, digit runs are entered at their start only.
 
 Defined results: null and empty text have no spans; a base candidate that fails its check is dropped without a retry;
 spans of different kinds may overlap; ties in start are ordered by kind as listed; a text is scanned whole however long
 it is; repeated rows are scanned like any other; an empty table gives no rows. Extra columns are kept by
-:func:`with_spans` and :func:`masked`.
+:func:`with_spans` and :func:`masked`; a column that has the new one's name already is kept too, the new one then gets
+underscores at its end. A text is one string in a worker; scores are whole hundredths.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import fresh, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "card_like")
 BASE = KINDS[:4]
@@ -27,7 +29,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 #: Words near a span that speak for its kind, and words that speak against any kind.
 CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|contact|write|reach|address)\b"),
@@ -37,8 +39,11 @@ CONTEXT = {
     "iban": re.compile(r"(?i)\b(?:iban|bank|account|transfer|bic|swift)\b"),
 }
 AGAINST = re.compile(r"(?i)\b(?:example|sample|version|serial|isbn|order no)\b")
-SCORE = {"email": 0.7, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "card_like": 0.3}
-NEAR, KEEP = 40, 0.5
+#: Scores in hundredths: of a kind, for a word that speaks for it, for one that speaks against, and the least to stay.
+SCORE = {"email": 70, "ip": 60, "card": 70, "phone": 60, "iban": 70, "card_like": 30}
+FOR, CONTRARY, KEEP = 25, 20, 50
+#: Characters on either side where words count.
+NEAR = 40
 
 
 def luhn(digits: str) -> bool:
@@ -67,11 +72,25 @@ def emails(text: str):
         at = text.find("@", max(at + 1, free))
 
 
+def ibans(text: str):
+    """Account numbers that pass mod 97. White space may part or follow one, so a run of groups is tried from its longest end at a word's end down."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 4
+        for end in range(m.end(), m.start() + 14, -1):
+            if text[end - 1] != " " and not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()):
+                bare = text[m.start() : end].replace(" ", "")
+                if 15 <= len(bare) <= 34 and mod97(bare):
+                    yield m.start(), end
+                    at = end
+                    break
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's score, moved by words within NEAR characters."""
     around = text[max(0, start - NEAR) : start] + " \x00 " + text[end : end + NEAR]
     said = CONTEXT["card" if kind == "card_like" else kind].search(around)
-    return min(1.0, max(0.0, SCORE[kind] + 0.25 * bool(said) - 0.2 * bool(AGAINST.search(around))))
+    return min(100, max(0, SCORE[kind] + FOR * bool(said) - CONTRARY * bool(AGAINST.search(around)))) / 100
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -93,11 +112,9 @@ def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 found.append((m.start(), 3, m.end()))
-    for m in _IBAN.finditer(text):
-        if 15 <= len(bare := m[0].replace(" ", "")) <= 34 and mod97(bare):
-            found.append((m.start(), 4, m.end()))
+    found += ((s, 4, e) for s, e in ibans(text))
     scored = ((KINDS[k], s, e, score(text, KINDS[k], s, e)) for s, k, e in sorted(found))
-    return [x for x in scored if x[0] in BASE or x[3] >= KEEP]
+    return [x for x in scored if x[0] in BASE or x[3] * 100 >= KEEP]
 
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
@@ -108,7 +125,7 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
 
     scan.__annotations__ = {"batch": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(scan, SPANS)(F.col(text)))
+    return docs.withColumn(fresh(docs, out), F.arrow_udf(scan, SPANS)(F.col(text)))
 
 
 def mask(text: str | None) -> str | None:
@@ -139,7 +156,9 @@ def joined(spans: Column) -> Column:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the scores of all spans in the order of ``spans``."""
     docs = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "found").select("doc_id", "found")
+    scores = F.concat_ws(",", F.transform("found", lambda s: F.format_number(s["score"], 2)))
     counts = [F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    return docs.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return docs.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), scores.alias("scores"))
