@@ -19,8 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from graphloom.llm.common import ascii_lower, fresh, pinned, spread, table
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A prefix table of at most so many windows (under 40 MB) is broadcast; a larger one is joined by shuffle, with the words around each candidate.
-BROADCAST_WINDOWS = 100_000
+#: A table of windows is broadcast up to so many bytes, items and words counted; a larger one is joined by shuffle, with the words around each candidate.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(windows: DataFrame) -> bool:
+    """Whether windows(win, items, ...) may be broadcast; what is made of their words alone is smaller."""
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda n, i: n + 24 + F.length(i.cast("string")))
+    size = F.lit(200) + ids + F.aggregate("win", F.lit(0).cast("long"), lambda n, w: n + 24 + F.octet_length(w))
+    return (windows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def _words(text: Column) -> Column:
@@ -47,10 +54,11 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 def prefixes(windows: DataFrame, doc_words: DataFrame) -> DataFrame:
     """windows with their rarest word over doc_words(raw): token, and k, its place in the window."""
     spots = windows.select("win", "m", "items", F.posexplode("win").alias("k", "token"))
-    small = windows.count() <= BROADCAST_WINDOWS
+    few = small(windows)
     asked = spots.select("token").distinct()
-    counted = doc_words.select(F.explode("raw").alias("token")).join(F.broadcast(asked) if small else asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = spots.join(counted, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = doc_words.select(F.explode("raw").alias("token")).join(F.broadcast(asked) if few else asked, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # A word may be in very many windows: its count is sent to them, or dealt so that the join may split it.
+    ranked = spots.join(F.broadcast(counted) if few else spread(counted), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = ranked.groupBy("win").agg(F.min(F.struct("n", "token", "k")).alias("best"), F.first("m").alias("m"), F.first("items").alias("items"))
     return best.filter("best.n > 0").select(F.col("best.token").alias("token"), F.col("best.k").alias("k"), "win", "m", "items")
 
@@ -64,11 +72,11 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     # Exploding the split itself is fast, a slice of it is not; so q counts from an empty first string, if there is one.
     spots = keyed.select("id", "h", "raw", lead.alias("lead"), n.alias("n"), F.posexplode("raw").alias("q", "token")).withColumn("p", F.col("q") - F.col("lead"))
     bounds = (F.col("p") >= F.col("k")) & (F.col("p") - F.col("k") + F.col("m") <= F.col("n"))
-    if table_.count() <= BROADCAST_WINDOWS:
+    if small(table_):
         found = spots.join(F.broadcast(table_), "token").filter(bounds & (F.slice("raw", F.col("q") - F.col("k") + 1, F.col("m")) == F.col("win")))
     else:
         near = spots.select("id", "h", "n", "p", "token", F.least("q", F.lit(window - 1)).alias("back"), F.slice("raw", F.greatest(F.col("q") - window + 2, F.lit(1)), 2 * window - 1).alias("near"))
-        found = near.join(table_, "token").filter(bounds & (F.slice("near", F.col("back") - F.col("k") + 1, F.col("m")) == F.col("win")))
+        found = near.join(spread(table_), "token").filter(bounds & (F.slice("near", F.col("back") - F.col("k") + 1, F.col("m")) == F.col("win")))
     return found.groupBy("id", "h").agg(
         F.collect_set(F.struct((F.col("p") - F.col("k")).alias("at"), "m")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")
     )
