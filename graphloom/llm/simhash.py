@@ -151,7 +151,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, radius: int = 4, tile: int = 1024) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, tile: int = 8192) -> DataFrame:
     """fps(fp) distinct signed fingerprints -> (u, v), edges that connect exactly the fingerprints joined by links."""
     spark = fps.sparkSession
     masks = block_layout(fps.count(), radius)
@@ -206,11 +206,11 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[d
         yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (u, root): the smallest vertex of each edge's component, by alternating large and small stars.
 
     A step joins edges with each vertex's smallest neighbour; both sides are shuffled by the join, so adaptive execution
-    splits a hub. Each round ends in a checkpoint.
+    splits a hub. Each round ends in a checkpoint; the steps end when no edge moves.
     """
 
     def mark(e: DataFrame) -> tuple:
@@ -219,7 +219,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     edges = pinned(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = mark(edges)
-    for _ in range(most if before[0] else 0):
+    while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(spread(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -231,9 +231,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
     return edges.select("u", F.col("v").alias("root"))
 
 
