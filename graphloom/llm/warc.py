@@ -3,11 +3,13 @@
 Archives are written by Spark's own text writer, one record a row, so they commit like any job and reach any file system
 Spark knows; a record is header, HTTP head and payload, with a blank line after it. Of equal payloads one is a response
 and the others are revisit records that refer to it. Reading goes by Content-Length and checks every payload against its
-digest. The captures of an archive form a run, sorted by URL key, time and id; runs are dealt to key ranges and each
-range merges its runs with a loser tree, so partitions in order are the global capture history.
+digest. The captures of an archive form a run, sorted by URL key, time and id; runs are dealt to key ranges of bounded
+size and each range merges its runs with a loser tree, so partitions in order are the global capture history. Record ids
+are unique in a writing, repeated rows and null ids included; page ids travel in fields of their own.
 
 Defined results: null html is an empty payload; null ids and URLs are written as empty; a URL's control characters and
-blanks are percent-encoded; rows that share both payload and smallest id are all responses; a null id is never chosen
+blanks are percent-encoded, each by its own code; rows that share both payload and smallest id are all responses, and their
+revisits name the page but no record; a null id is never chosen
 while another id has the payload; an empty table gives an empty index. Extra columns are not read.
 """
 
@@ -16,18 +18,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm.common import pinned, shared_dir, spread, table
+from graphloom.llm.common import pinned, removed, shared_dir, spread, table
 
 #: Digits of conv() in base 32 and of RFC 4648.
 CONV32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads that occur more than once are looked up by broadcast while there are at most so many (about 100 bytes each).
 BROADCAST_COPIES = 100_000
+#: Payloads above LARGE are kept apart; no archive exceeds ARCHIVE_BYTES unless one record does.
+LARGE, ARCHIVE_BYTES = 1 << 20, 1 << 30
+#: Captures of a key range that one task merges (some hundred bytes each).
+RANGE_ROWS = 100_000
 ENTRY = "url_key string, captured string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long"
 
 
@@ -39,35 +45,53 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """One row per row of pages, with ``value``: the record as text, without the last line end of its closing blank line."""
+    """One row per row of pages, with ``value``: the record as text, without the last line end of its closing blank line, and ``size``, its payload's bytes."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8"))).withColumn("size", F.octet_length("payload").cast("long"))
-    copies = pinned(rows.filter(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"))
+    each = rows.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("k"))
+    ids = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "k")
+    copies = pinned(each.groupBy("digest").agg(F.min(ids).alias("first"), F.sum("k").alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.k").alias("firsts"), F.lit(True).alias("shared")))
     known = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else spread(copies)
     both = rows.join(known, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("size") >= least_bytes)
     crlf = "\r\n"
 
-    def uid(c: str) -> Column:
-        return F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
-    safe = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
+    def uid(c: str, *more: Column) -> Column:
+        return F.concat(F.lit("<urn:x-page:"), text(c), F.lit(":"), F.col("digest"), *more, F.lit(">"))
+
+    # A payload's only first record has the plain id, which its revisits name; other rows of a shared payload are numbered.
+    plain = F.col("shared").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("firsts") == 1))
+    own = F.when(plain, uid("page_id")).otherwise(uid("page_id", F.lit(":"), F.monotonically_increasing_id().cast("string")))
+    odd = F.coalesce("url", F.lit(""))
+    for code in (*range(0x21), 0x7F):
+        odd = F.replace(odd, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    safe = F.when(F.col("url").rlike(r"[\x00-\x20\x7F]"), odd).otherwise(F.coalesce("url", F.lit("")))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=UTF-8{crlf}Content-Length: "), F.col("size").cast("string"), F.lit(crlf * 2))
     block = F.when(again, head).otherwise(F.concat(head, F.col("payload")))
     date = F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.col("page_id"), F.lit(0)) % F.lit(100_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    refers = F.when(F.col("firsts") == 1, F.concat(F.lit(f"{crlf}WARC-Refers-To: "), uid("first"))).otherwise(F.lit(""))
     value = F.concat(
         F.lit(f"WARC/1.1{crlf}WARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit(f"{crlf}WARC-Record-ID: "), uid("page_id"), F.lit(f"{crlf}WARC-Target-URI: "), safe, F.lit(f"{crlf}WARC-Date: "), date,
-        F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(again, F.concat(F.lit(f"{crlf}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{crlf}WARC-Refers-To: "), uid("first"))).otherwise(F.lit("")),
+        F.lit(f"{crlf}WARC-Record-ID: "), own, F.lit(f"{crlf}WARC-Target-URI: "), safe, F.lit(f"{crlf}WARC-Date: "), date,
+        F.lit(f"{crlf}WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(f"{crlf}X-Page-Id: "), text("page_id"),
+        F.when(again, F.concat(F.lit(f"{crlf}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), refers, F.lit(f"{crlf}X-Refers-To-Page-Id: "), text("first"))).otherwise(F.lit("")),
         F.lit(f"{crlf}Content-Type: application/http; msgtype=response{crlf}Content-Length: "), F.octet_length(block).cast("string"), F.lit(crlf * 2), block, F.lit(crlf),
     )
-    return both.select("page_id", value.alias("value"))
+    return both.select("page_id", "size", value.alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = 1000, **columns: str) -> None:
-    """WARC files of at most records_per_file records below path."""
-    records(pages, **columns).select("value").write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    """WARC files below path, of at most records_per_file records and ARCHIVE_BYTES: payloads above LARGE get files of their own, with as many records as always fit."""
+    made = records(pages, **columns)
+    longest = made.agg(F.max("size")).first()[0] or 0
+    parts = [("small", F.col("size") <= LARGE, records_per_file)]
+    if longest > LARGE:
+        parts.append(("large", F.col("size") > LARGE, max(1, min(records_per_file, ARCHIVE_BYTES // (longest + LARGE)))))
+    for name, part, most in parts:
+        made.filter(part).select("value").write.option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
 def url_key(url: str) -> str:
@@ -97,7 +121,7 @@ def parsed(name: str, data: bytes) -> list[tuple]:
             payload = data[body : start + size]
             if len(payload) != n or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                 raise ValueError(f"payload at byte {at} of {name} differs from its digest")
-        page, first = (h.removeprefix("<urn:x-page:").removesuffix(">") for h in (head["warc-record-id"], head.get("warc-refers-to", "")))
+        page, first = head["x-page-id"], head.get("x-refers-to-page-id", "")
         when = "".join(c for c in head["warc-date"] if c.isdigit())
         out.append((url_key(head["warc-target-uri"]), when, int(page) if page else None, head["warc-target-uri"], kind, int(first) if first else None, n, digest, name, at, start + size + 4 - at))
         at = start + size + 4
@@ -127,15 +151,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if found := sorted(parsed(name.as_py().rpartition("/")[2], data.as_py()), key=order):
                     yield rows_of(found, schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(read, ENTRY)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(read, ENTRY)
 
 
 class LoserTree:
     """k sorted runs, merged: an inner node holds the loser of its match, the winner is at the top; a step replays one path."""
 
-    def __init__(self, runs: list[list[tuple]]) -> None:
-        self.runs, self.at, self.k = runs, [0] * len(runs), max(1, len(runs))
-        self.heads = [order(r[0]) if r else None for r in runs]
+    def __init__(self, runs: list[list], key: Callable = order) -> None:
+        self.runs, self.at, self.k, self.key = runs, [0] * len(runs), max(1, len(runs)), key
+        self.heads = [key(r[0]) if r else None for r in runs]
         self.tree = [-1] * self.k
         for run in range(len(runs)):
             self._play(run)
@@ -155,42 +179,44 @@ class LoserTree:
             node //= 2
         self.tree[0] = run
 
-    def __iter__(self) -> Iterator[tuple]:
+    def __iter__(self) -> Iterator:
         while self.runs and self.heads[run := self.tree[0]] is not None:
             yield self.runs[run][self.at[run]]
             self.at[run] += 1
-            self.heads[run] = order(self.runs[run][self.at[run]]) if self.at[run] < len(self.runs[run]) else None
+            self.heads[run] = self.key(self.runs[run][self.at[run]]) if self.at[run] < len(self.runs[run]) else None
             self._play(run)
 
 
 def merged_index(captures: DataFrame) -> DataFrame:
-    """captures in global order of (url_key, captured, page_id): key ranges, and within each a merge of the archives' runs."""
+    """captures in global order of (url_key, captured, page_id): key ranges of about RANGE_ROWS rows, and within each a merge of the archives' runs.
+
+    Ranges are cut by (url_key, captured, page_id, archive, offset), which no two captures share, so one URL's history may
+    span ranges and no task holds more than its range.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, runs = arrow_entry(), {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(row[8], []).append(row)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        runs: dict[str, list[tuple]] = {}
+        cols = (whole.column(c).to_pylist() for c in ("url_key", "captured", "page_id", "archive", "offset"))
+        for i, (key, when, page, archive, at) in enumerate(zip(*cols)):
+            runs.setdefault(archive, []).append((key, when, page is not None, page or 0, archive, at, i))
         for run in runs.values():
-            if any(order(a) > order(b) for a, b in zip(run, run[1:])):
-                run.sort(key=order)  # blocks of a run may come out of turn
-        held = []
-        for row in LoserTree(list(runs.values())):
-            held.append(row)
-            if len(held) == 4096:
-                yield rows_of(held, schema)
-                held = []
-        if held:
-            yield rows_of(held, schema)
+            if any(a > b for a, b in zip(run, run[1:])):
+                run.sort()  # blocks of a run may come out of turn
+        merged = [x[-1] for x in LoserTree(list(runs.values()), key=lambda x: x)]
+        for at in range(0, len(merged), 8192):
+            yield from whole.take(pa.array(merged[at : at + 8192])).to_batches()
 
-    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return captures.repartitionByRange(n, "url_key", "captured", "page_id", "offset").mapInArrow(merge, ENTRY)
+    n = max(1, -(-captures.count() // RANGE_ROWS))
+    return captures.repartitionByRange(n, "url_key", "captured", "page_id", "archive", "offset").mapInArrow(merge, ENTRY)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     captures = pinned(read_archives(spark, path))
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm, True)
+    removed(spark, path)
     return merged_index(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
