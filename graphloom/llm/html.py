@@ -1,17 +1,22 @@
 """Operator 1, main-text extraction by wrapper induction.
 
-Each host gets a reference page (smallest id). Every page of the host is aligned with it by simple tree matching, a
-dynamic program over ordered children with equal tags. Counts of matched and of equal leaves, added up per host with
-map-side sums, tell constant leaves (template) from varying slots (content). In a second pass a page is aligned again,
-its leaves that equal the template's constant ones fall away, and of the rest the article is taken, without regions whose element, role or class name
-marks menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments. A class name marks as a whole or as
-a compound of known words ("left-sidebar", not "has-sidebar"), and never what holds the article (see :func:`spare`).
-
-References travel as skeletons (tags, depths, leaf hashes), so joining them with pages never ships a second html.
-Defined results: null or empty html gives an empty text; unclosed, stray and cut-off tags are repaired as they come; a
-page on a host with few pages is judged by its own structure alone; all its articles (or mains) in page order count, and a page without
-any gives the smallest element around all its paragraphs (without paragraphs: around all its text) that is not template; equal pages and repeated rows each get their row; an empty table gives no rows. Extra columns
-are not read.
+Each host gets a reference page (the smallest id with any html). Every page of the host is aligned with it by simple tree
+matching: of two nodes with equal tags, children are aligned in order so that the whole subtrees match in the most nodes.
+Weights of subtrees depend on their shape alone, so they are worked out once per pair of shapes; equal shapes at both
+ends are paired first, which never costs a node, and long child lists are aligned in linear memory. Counts of matched and
+of equal leaves, added up per host with map-side sums, tell constant leaves (template) from varying slots (content). In a
+second pass a page is aligned again, its leaves that equal the template's constant ones fall away, and of the rest the
+article is taken, without regions whose element, role or class name marks menus, headers, footers, sidebars, notices,
+adverts, forms, scripts or comments. A class name marks as a whole or as a compound of known words ("left-sidebar", not
+"has-sidebar"), and never what holds the article (see :func:`spare`).
+
+References travel as skeletons (tags, depths, leaf hashes), found by id, so no html is shuffled while the hosts' list is
+small. Defined results: null or empty html gives an empty text; unclosed, stray and cut-off tags are repaired as they
+come; a page that is alone on its host has nothing to be compared with and is judged by its structure; all its articles
+(or mains) in page order count, and a page without any gives the smallest element around all its paragraphs (without
+paragraphs: around all its text) that is not template; a text that would be template throughout, or an article that would
+lose more than TEMPLATE_IN_ARTICLE of itself, is kept whole (pages of one article, not a template); equal pages and
+repeated rows each get their row, equal pages count once; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -52,13 +58,15 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*+(?:\"[^\"]*+\"[^>\"']
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 _NAMES = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: A leaf is template if it is equal in this share of its matches, over at least so many pages.
-SHARE, LEAST_PAGES = 0.6, 4
+SHARE, LEAST_PAGES = 0.6, 2
 #: An element marked up as article or main loses constant leaves only if they are at most this share of its text.
 TEMPLATE_IN_ARTICLE = 0.2
 #: Skeletons of all hosts are broadcast up to so many bytes together, else joined by shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Counts of equal pages are broadcast up to so many rows, else joined by shuffle.
-BROADCAST_COPIES = 200_000
+#: Counts of equal pages are broadcast up to so many rows, else joined by shuffle; so are the hosts' reference ids.
+BROADCAST_COPIES = BROADCAST_HOSTS = 200_000
+#: Child lists up to so many cells are aligned in one table; larger ones are halved (Hirschberg), with the same weight.
+CELLS = 1 << 20
 
 
 class Node:
@@ -211,46 +219,139 @@ def grown(rows: list) -> Node:
     return stack[0]
 
 
-def matched(page: Node, ref: Node, most: int = 40_000) -> None:
-    """Simple tree matching: sets key of page's nodes to that of their partners in ref.
-
-    Children with equal tags are aligned in order so that the most nodes match; equal ends are paired first, and a
-    remainder beyond ``most`` cells is paired in order per tag.
-    """
-    page.key = ref.key
-    todo = [(page, ref)]
+class Matching:
+    """Simple tree matching of trees by shape: a shape is a tag and the shapes of its children, numbered as met."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.parts: list[tuple] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def shapes(self, root: Node) -> dict[Node, int]:
+        order, todo, out = [], [root], {}
+        while todo:
+            v = todo.pop()
+            order.append(v)
+            todo.extend(v.kids)
+        for v in reversed(order):
+            part = (v.tag, *(out[k] for k in v.kids))
+            if (number := self.numbers.get(part)) is None:
+                number = self.numbers[part] = len(self.parts)
+                self.parts.append(part)
+                self.sizes.append(1 + sum(self.sizes[k] for k in part[1:]))
+            out[v] = number
+        return out
+
+    def weight(self, a: int, b: int) -> int:
+        """Most nodes that two shapes can match; pairs that are still needed are worked out first, so depth is no matter."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in self.known:
+                todo.pop()
+                continue
+            if x == y or self.parts[x][0] != self.parts[y][0]:
+                self.known[x, y] = self.sizes[x] if x == y else 0
+                continue
+            p, q = self.parts[x][1:], self.parts[y][1:]
+            i, j = ends(p, q)
+            p, q = p[i : len(p) - j], q[i : len(q) - j]
+            need = [(u, v) for u in set(p) for v in set(q) if (u, v) not in self.known]
+            if need:
+                todo.extend(need)
+                continue
+            same = sum(self.sizes[k] for k in (*self.parts[x][1 : 1 + i], *(self.parts[x][len(self.parts[x]) - j :] if j else ())))
+            self.known[x, y] = 1 + same + int(scores(self.table(p, q))[-1] if p and q else 0)
+        return self.known[a, b]
+
+    def table(self, p: tuple, q: tuple) -> Pairs:
+        """Weights of all pairs of two child lists."""
+        left, at = np.unique(np.array(p), return_inverse=True)
+        right, to = np.unique(np.array(q), return_inverse=True)
+        few = np.array([[self.weight(int(u), int(v)) for v in right] for u in left], np.int64)
+        return Pairs(few, at, to)
+
+    def pairs(self, p: list[int], q: list[int]) -> list[tuple[int, int]]:
+        """Places of children that are matched, of an alignment with the largest weight."""
+        i, j = ends(p, q)
+        out = [*((k, k) for k in range(i)), *((len(p) - 1 - k, len(q) - 1 - k) for k in range(j))]
+        p, q = p[i : len(p) - j], q[i : len(q) - j]
+        if p and q:
+            out += ((i + u, i + v) for u, v in aligned(self.table(tuple(p), tuple(q))))
+        return out
+
+
+class Pairs:
+    """A matrix of weights by (row class, column class)."""
+
+    def __init__(self, few: np.ndarray, at: np.ndarray, to: np.ndarray) -> None:
+        self.few, self.at, self.to = few, at, to
+
+    def row(self, i: int) -> np.ndarray:
+        return self.few[self.at[i]][self.to]
+
+    def cut(self, rows: slice, cols: slice) -> Pairs:
+        return Pairs(self.few, self.at[rows], self.to[cols])
+
+
+def ends(p, q) -> tuple[int, int]:
+    """How many equal shapes two lists start with, and how many more they end with."""
+    n = min(len(p), len(q))
+    i = 0
+    while i < n and p[i] == q[i]:
+        i += 1
+    j = 0
+    while j < n - i and p[-1 - j] == q[-1 - j]:
+        j += 1
+    return i, j
+
+
+def scores(w: Pairs) -> np.ndarray:
+    """Largest weight of the whole of w's rows against each leading part of its columns."""
+    best = np.zeros(len(w.to) + 1, np.int64)
+    for i in range(len(w.at)):
+        step = best.copy()
+        np.maximum(step[1:], best[:-1] + w.row(i), out=step[1:])
+        best = np.maximum.accumulate(step)
+    return best
+
+
+def aligned(w: Pairs) -> list[tuple[int, int]]:
+    """(row, column) pairs, in order, of positive weight and of the largest sum."""
+    n, m = len(w.at), len(w.to)
+    if n > 1 and n * m > CELLS:
+        half = n // 2
+        first = scores(w.cut(slice(0, half), slice(None)))
+        second = scores(Pairs(w.few, w.at[half:][::-1], w.to[::-1]))[::-1]
+        k = int(np.argmax(first + second))
+        return [*aligned(w.cut(slice(0, half), slice(0, k))), *((half + i, k + j) for i, j in aligned(w.cut(slice(half, None), slice(k, None))))]
+    best = np.zeros((n + 1, m + 1), np.int64)
+    for i in range(n):
+        step = best[i].copy()
+        np.maximum(step[1:], best[i, :-1] + w.row(i), out=step[1:])
+        best[i + 1] = np.maximum.accumulate(step)
+    out, i, j = [], n, m
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def matched(page: Node, ref: Node) -> None:
+    """Sets key of page's nodes to that of their partners in ref, by simple tree matching."""
+    m = Matching()
+    shape, other = m.shapes(page), m.shapes(ref)
+    page.key, todo = ref.key, [(page, ref)]
     while todo:
         a, b = todo.pop()
-        x, y = a.kids, b.kids
-        i, n = 0, min(len(x), len(y))
-        while i < n and x[i].tag == y[i].tag:
-            i += 1
-        j = 0
-        while j < n - i and x[-1 - j].tag == y[-1 - j].tag:
-            j += 1
-        pairs = [*zip(x[:i], y[:i]), *zip(x[len(x) - j :], y[len(y) - j :])]
-        x, y = x[i : len(x) - j], y[i : len(y) - j]
-        if x and y and len(x) * len(y) <= most:
-            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for p in range(len(x) - 1, -1, -1):
-                for q in range(len(y) - 1, -1, -1):
-                    both = best[p + 1][q + 1] + 1 + min(len(x[p].kids), len(y[q].kids)) if x[p].tag == y[q].tag else 0
-                    best[p][q] = max(both, best[p + 1][q], best[p][q + 1])
-            p = q = 0
-            while p < len(x) and q < len(y):
-                if x[p].tag == y[q].tag and best[p][q] == best[p + 1][q + 1] + 1 + min(len(x[p].kids), len(y[q].kids)):
-                    pairs.append((x[p], y[q]))
-                    p, q = p + 1, q + 1
-                elif best[p][q] == best[p + 1][q]:
-                    p += 1
-                else:
-                    q += 1
-        elif x and y:
-            free: dict[str, Iterator[Node]] = {}
-            for v in y:
-                free.setdefault(v.tag, iter([w for w in y if w.tag == v.tag]) if v.tag not in free else free[v.tag])
-            pairs += ((u, v) for u in x if u.tag in free and (v := next(free[u.tag], None)) is not None)
-        for u, v in pairs:
+        for i, j in m.pairs([shape[k] for k in a.kids], [other[k] for k in b.kids]):
+            u, v = a.kids[i], b.kids[j]
             u.key = v.key
             if u.kids and v.kids:
                 todo.append((u, v))
@@ -324,26 +425,37 @@ def _host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit("")))
 
 
+def reference(trees: dict[str, tuple[list, Node]], host: str, ref: str) -> tuple[list, Node]:
+    """A host's skeleton and its tree, made once a batch."""
+    if host not in trees:
+        rows = json.loads(ref)
+        trees[host] = rows, grown(rows)
+    return trees[host]
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     rows = _host(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")))
-    first = rows.groupBy("host").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", "page_id")
+    named = F.when(F.col("html") != "", F.col("page_id"))
+    first = pinned(rows.groupBy("host").agg(F.min(named).alias("page_id"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= LEAST_PAGES) & F.col("page_id").isNotNull()).select("host", "page_id"))
 
     def outline(batch: pa.Array) -> pa.Array:
         return pa.array([json.dumps(skeleton(parse(h.as_py())), separators=(",", ":")) for h in batch], pa.string())
 
     outline.__annotations__ = {"batch": pa.Array, "return": pa.Array}
-    chosen = rows.select("host", "page_id", "html").join(first, ["host", "page_id"])
-    refs = pinned(chosen.groupBy("host").agg(F.min("html").alias("html")).select("host", F.arrow_udf(outline, "string")("html").alias("ref")))
+    # Only skeletons of the chosen pages are shuffled; of several rows with the reference's id the smallest counts.
+    chosen = rows.filter(F.col("html") != "").select("host", "page_id", "html").join(F.broadcast(first) if first.count() <= BROADCAST_HOSTS else spread(first), ["host", "page_id"])
+    refs = pinned(chosen.select("host", F.arrow_udf(outline, "string")("html").alias("ref")).groupBy("host").agg(F.min("ref").alias("ref")))
     small = (refs.agg(F.sum(F.octet_length("ref") + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple[str, int], list[float]] = {}
+            trees: dict[str, tuple[list, Node]] = {}
             for host, html_, ref, w in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "ref", "w"))):
-                rows_ = json.loads(ref)
+                rows_, tree = reference(trees, host, ref)
                 page = parse(html_)
-                matched(page, grown(rows_))
+                matched(page, tree)
                 todo = [page]
                 while todo:
                     v = todo.pop()
@@ -366,18 +478,18 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     known = pinned(refs.join(fixed, "host"))
     small = (known.agg(F.sum(F.octet_length("ref") + 8 * F.size("fixed") + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
-    def text(html_: pa.Array, ref: pa.Array, fixed_: pa.Array) -> pa.Array:
-        out = []
-        for h, r, f in zip(html_.to_pylist(), ref.to_pylist(), fixed_.to_pylist()):
-            page = parse(h)
-            rows_ = json.loads(r) if f else []
+    def text(host: pa.Array, html_: pa.Array, ref: pa.Array, fixed_: pa.Array) -> pa.Array:
+        out, trees = [], {}
+        for o, h, r, f in zip(host.to_pylist(), html_.to_pylist(), ref.to_pylist(), fixed_.to_pylist()):
+            page, rows_ = parse(h), []
             if f:
-                matched(page, grown(rows_))
+                rows_, tree = reference(trees, o, r)
+                matched(page, tree)
             out.append(main_text(page, {k: rows_[k][2] for k in f or ()}))
         return pa.array(out, pa.string())
 
-    text.__annotations__ = {"html_": pa.Array, "ref": pa.Array, "fixed_": pa.Array, "return": pa.Array}
-    done = rows.join(F.broadcast(known) if small else spread(known), "host", "left").select("page_id", "url", F.arrow_udf(text, "string")("html", "ref", "fixed").alias("text"))
+    text.__annotations__ = {"host": pa.Array, "html_": pa.Array, "ref": pa.Array, "fixed_": pa.Array, "return": pa.Array}
+    done = rows.join(F.broadcast(known) if small else spread(known), "host", "left").select("page_id", "url", F.arrow_udf(text, "string")("host", "html", "ref", "fixed").alias("text"))
     return done.select(F.col("page_id").alias(page_id), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
