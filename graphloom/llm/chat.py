@@ -39,8 +39,12 @@ def maximal_conversations(log: DataFrame, conv_id: str = "conv_id", turn: str =
 
 
 def render(turns: Column) -> Column:
-    """``<|role|>`` on a line of its own, the text below, ``<|end|>`` after each turn."""
-    return F.concat_ws("\n", F.transform(turns, lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit("\n<|end|>"))))
+    """``<|role|>`` on a line of its own, the text below, ``<|end|>`` after each turn; what a log says cannot open a marker, ``<|`` in it becomes ``< |``."""
+
+    def plain(c: Column) -> Column:
+        return F.replace(c, F.lit("<|"), F.lit("< |"))
+
+    return F.concat_ws("\n", F.transform(turns, lambda t: F.concat(F.lit("<|"), plain(F.coalesce(t["role"], F.lit("unknown"))), F.lit("|>\n"), plain(F.coalesce(t["text"], F.lit(""))), F.lit("\n<|end|>"))))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ p AS (
 ends AS (SELECT k, h, min(conv_id) AS conv_id, count(*) AS n_same FROM p WHERE k = n GROUP BY k, h),
 kept AS (SELECT * FROM ends e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k < p.n AND p.k = e.k AND p.h = e.h))
 SELECT kept.conv_id, CAST(any_value(kept.k) AS BIGINT) AS n_turns, CAST(any_value(n_same) AS BIGINT) AS n_same,
-  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>', chr(10) ORDER BY t.k) AS rendered
+  string_agg('<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>', chr(10) ORDER BY t.k) AS rendered
 FROM kept JOIN t ON t.conv_id IS NOT DISTINCT FROM kept.conv_id
 GROUP BY kept.conv_id
 """

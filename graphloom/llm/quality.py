@@ -189,11 +189,9 @@ def _starts(rows: DataFrame, small: bool) -> DataFrame:
     return _cholesky(out, (*KEYS, "start"))
 
 
-def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
-    """Centre, Cholesky factor and determinant per group of vectors(g_lang, g_source, features); the flag says whether they may be broadcast."""
-    p, keys = range(len(FEATURES)), (*KEYS, "start")
-    rows = pinned(vectors.select(*KEYS, *(F.round(F.col(f) * UNIT).cast("long").alias(f"q{i}") for i, f in enumerate(FEATURES))))
-    small = rows.select(*KEYS).distinct().count() * len(STARTS) <= BROADCAST_GROUPS
+def concentrated(rows: DataFrame, small: bool) -> DataFrame:
+    """(KEYS, m_i, l_ij, det) of the half of each group of rows(KEYS, q_i) with the smallest determinant that the starts lead to."""
+    keys = (*KEYS, "start")
     best = pinned(_starts(rows, small).withColumn("det", F.lit(float("inf"))))  # a start is no half sample yet
     live = best
     while not live.isEmpty():
@@ -205,8 +203,14 @@ def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
         live = pinned(_keyed(found, old, small, "inner", keys).filter(F.col("det") < F.col("before") * (1 - FALL)).drop("before"))
         same = best.join(F.broadcast(live.select(*(F.col(k).alias(f"p_{k}") for k in keys))) if small else spread(live.select(*(F.col(k).alias(f"p_{k}") for k in keys))), [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys], "left_anti")
         best = pinned(same.unionByName(live))
-    least = best.groupBy(*KEYS).agg(F.min_by(F.struct(*(c for c in best.columns if c not in keys)), F.struct("det", "start")).alias("b")).select(*KEYS, "b.*")
-    far = _keyed(rows, least, small).withColumn("d2", _distance()).filter(F.col("d2") <= REWEIGHT_CHI2)
+    return best.groupBy(*KEYS).agg(F.min_by(F.struct(*(c for c in best.columns if c not in keys)), F.struct("det", "start")).alias("b")).select(*KEYS, "b.*")
+
+
+def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """Centre, Cholesky factor and determinant per group of vectors(g_lang, g_source, features); the flag says whether they may be broadcast."""
+    rows = pinned(vectors.select(*KEYS, *(F.round(F.col(f) * UNIT).cast("long").alias(f"q{i}") for i, f in enumerate(FEATURES))))
+    small = rows.select(*KEYS).distinct().count() * len(STARTS) <= BROADCAST_GROUPS
+    far = _keyed(rows, concentrated(rows, small), small).withColumn("d2", _distance()).filter(F.col("d2") <= REWEIGHT_CHI2)
     reweighted = _cholesky(_moments(far, KEYS, 1.0), KEYS)
     return pinned(reweighted), small
 
