@@ -39,7 +39,7 @@ KEYS = ("g_lang", "g_source")
 #: Grid of the features, and of the values that make up the two derived starts.
 UNIT, FINE = 10_000, 1_000_000
 #: Bins of distances per unit of their logarithm, and the fall of a determinant that is worth another step.
-BINS, FALL = 50, 1e-3
+BINS, FALL = 50, 1e-2
 STARTS = ("median", "sign", "tanh")
 
 
@@ -99,32 +99,25 @@ def with_features(stats: DataFrame) -> DataFrame:
     )
 
 
+P = range(len(FEATURES))
+LOWER_LEFT = [(i, j) for i in P for j in range(i + 1)]
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of q_i by forward substitution with the Cholesky factor in columns l_ij and centre m_i."""
-    y: list[Column] = []
-    for i in range(len(FEATURES)):
-        v = F.col(f"q{i}") / F.lit(float(UNIT)) - F.col(f"m{i}")
-        for j in range(i):
-            v = v - F.col(f"l{i}{j}") * y[j]
-        y.append(v / F.col(f"l{i}{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+    y: list[str] = []
+    for i in P:
+        y.append(f"((q{i} / {float(UNIT)}D - m{i}{''.join(f' - l{i}{j} * {y[j]}' for j in range(i))}) / l{i}{i})")
+    return F.expr(" + ".join(f"{v} * {v}" for v in y))
 
 
 def _cholesky(params: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, m_i, l_ij, det) from c_ij, floors on the diagonal; a step per entry, over a small table of its own, keeps expressions small."""
-    p, params = len(FEATURES), pinned(params)
-    for i in range(p):
-        for j in range(i + 1):
-            v = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0))
-            if i == j:
-                v = v + F.lit(FLOORS[i] ** 2)
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit((FLOORS[i] / 10) ** 2))) if i == j else v / F.col(f"l{j}{j}"))
-    det = F.lit(1.0)
-    for i in range(p):
-        det = det * F.pow(f"l{i}{i}", F.lit(2))
-    return params.select(*keys, *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)), det.alias("det"))
+    """(keys, m_i, l_ij, det) from c_ij, floors on the diagonal; later entries use earlier ones by name, behind a shuffle of the small table, which keeps expressions small."""
+    made = []
+    for i, j in LOWER_LEFT:
+        v = f"coalesce(c{i}{j}, 0D)" + (f" + {FLOORS[i] ** 2!r}D" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        made.append(f"sqrt(greatest({v}, {(FLOORS[i] / 10) ** 2!r}D)) AS l{i}{j}" if i == j else f"({v}) / l{j}{j} AS l{i}{j}")
+    return spread(params).selectExpr(*keys, *(f"m{i}" for i in P), *made, " * ".join(f"l{i}{i} * l{i}{i}" for i in P) + " AS det")
 
 
 def _keyed(rows: DataFrame, params: DataFrame, small: bool, how: str = "left", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -145,65 +138,55 @@ def _middle(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
 
 def _medians(rows: DataFrame) -> DataFrame:
     """(KEYS, a0..a3) of rows(KEYS, q0..q3)."""
-    p = range(len(FEATURES))
-    long = rows.select(*KEYS, F.posexplode(F.array(*(F.col(f"q{i}") for i in p))).alias("i", "q"))
-    mids = _middle(long, (*KEYS, "i"), "q")
-    return mids.groupBy(*KEYS).agg(*(F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"a{i}") for i in p))
+    long = rows.select(*KEYS, F.posexplode(F.array(*(f"q{i}" for i in P))).alias("i", "q"))
+    return _middle(long, (*KEYS, "i"), "q").groupBy(*KEYS).agg(*(F.expr(f"max(if(i = {i}, mid, null)) AS a{i}") for i in P))
 
 
-def _sums(values: list[Column]) -> list[Column]:
+def _sums(values: list[str]) -> list[Column]:
     """Exact sums of integers and of their products: s_i, s_ij, and their number n."""
-    out = [F.count(F.lit(1)).alias("n")]
-    for i, v in enumerate(values):
-        out.append(F.sum(v.cast("decimal(20,0)")).cast("double").alias(f"s{i}"))
-        out += (F.sum((v * values[j]).cast("decimal(20,0)")).cast("double").alias(f"s{i}{j}") for j in range(i + 1))
-    return out
+    exact = "cast(sum(cast({} as decimal(20,0))) as double) AS {}"
+    named = [exact.format(v, f"s{i}") for i, v in enumerate(values)] + [exact.format(f"{values[i]} * {values[j]}", f"s{i}{j}") for i, j in LOWER_LEFT]
+    return [F.expr(e) for e in ("count(1) AS n", *named)]
 
 
 def _moments(rows: DataFrame, keys: tuple[str, ...], factor: float) -> DataFrame:
     """(keys, m_i, c_ij) of rows(q_i)."""
-    p = range(len(FEATURES))
-    sums = rows.groupBy(*keys).agg(*_sums([F.col(f"q{i}") for i in p]))
-    centre = [(F.col(f"s{i}") / F.col("n") / UNIT).alias(f"m{i}") for i in p]
-    spread_ = [(F.lit(factor) * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / UNIT**2).alias(f"c{i}{j}") for i in p for j in range(i + 1)]
-    return sums.select(*keys, *centre, *spread_)
+    sums = rows.groupBy(*keys).agg(*_sums([f"q{i}" for i in P]))
+    return sums.selectExpr(*keys, *(f"s{i} / n / {UNIT} AS m{i}" for i in P), *(f"{factor!r}D * (s{i}{j} / n - s{i} / n * s{j} / n) / {UNIT**2} AS c{i}{j}" for i, j in LOWER_LEFT))
 
 
 def _starts(rows: DataFrame, small: bool) -> DataFrame:
     """(KEYS, start, m_i, l_ij, det): medians with the MAD's diagonal, and the correlations of signs and of tanh scaled by it."""
-    p = range(len(FEATURES))
     mid = pinned(_medians(rows))
-    off = _keyed(rows, mid, small)
-    mad = _medians(off.select(*KEYS, *(F.abs(F.col(f"q{i}") - F.col(f"a{i}")).alias(f"q{i}") for i in p))).select(*KEYS, *(F.greatest(F.col(f"a{i}") * 1.4826, F.lit(FLOORS[i] * UNIT)).alias(f"b{i}") for i in p))
+    mad = _medians(_keyed(rows, mid, small).selectExpr(*KEYS, *(f"abs(q{i} - a{i}) AS q{i}" for i in P)))
+    mad = mad.selectExpr(*KEYS, *(f"greatest(a{i} * 1.4826D, {FLOORS[i] * UNIT!r}D) AS b{i}" for i in P))
     scale = pinned(_keyed(mid, mad, small))
-    z = _keyed(rows, scale, small).select(*KEYS, *(((F.col(f"q{i}") - F.col(f"a{i}")) / F.col(f"b{i}")).alias(f"z{i}") for i in p))
-    norm = F.sqrt(sum(F.col(f"z{i}") * F.col(f"z{i}") for i in p) + F.lit(1e-12))
-    shapes = {"sign": [F.col(f"z{i}") / norm for i in p], "tanh": [F.tanh(f"z{i}") for i in p]}
-    out = scale.select(*KEYS, F.lit("median").alias("start"), *((F.col(f"a{i}") / UNIT).alias(f"m{i}") for i in p), *((F.pow(F.col(f"b{i}") / UNIT, F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in range(i + 1)))
-    for name, values in shapes.items():
-        sums = z.groupBy(*KEYS).agg(*_sums([F.round(v * FINE).cast("long") for v in values]))
-        both = _keyed(sums, scale, small)
-        total = sum(F.col(f"s{i}{i}") for i in p)
-        shape = {(i, j): F.col(f"s{i}{j}") / F.nullif(total, F.lit(0.0)) * len(FEATURES) * F.col(f"b{i}") * F.col(f"b{j}") / UNIT**2 for i in p for j in range(i + 1)}
-        out = out.unionByName(both.select(*KEYS, F.lit(name).alias("start"), *((F.col(f"a{i}") / UNIT).alias(f"m{i}") for i in p), *(c.alias(f"c{i}{j}") for (i, j), c in shape.items())))
+    centre = [f"a{i} / {UNIT} AS m{i}" for i in P]
+    out = scale.selectExpr(*KEYS, "'median' AS start", *centre, *((f"pow(b{i} / {UNIT}, 2)" if i == j else "0D") + f" AS c{i}{j}" for i, j in LOWER_LEFT))
+    z = _keyed(rows, scale, small).selectExpr(*KEYS, *(f"(q{i} - a{i}) / b{i} AS z{i}" for i in P))
+    norm = "sqrt(" + " + ".join(f"z{i} * z{i}" for i in P) + " + 1e-12D)"
+    for name, shape in (("sign", "z{i} / {norm}"), ("tanh", "tanh(z{i})")):
+        fine = z.selectExpr(*KEYS, *("cast(round({} * {}) as bigint) AS v{}".format(shape.format(i=i, norm=norm), FINE, i) for i in P))
+        both = _keyed(fine.groupBy(*KEYS).agg(*_sums([f"v{i}" for i in P])), scale, small)
+        total = " + ".join(f"s{i}{i}" for i in P)
+        out = out.unionByName(both.selectExpr(*KEYS, f"'{name}' AS start", *centre, *(f"s{i}{j} / nullif({total}, 0D) * {len(FEATURES)} * b{i} * b{j} / {UNIT**2} AS c{i}{j}" for i, j in LOWER_LEFT)))
     return _cholesky(out, (*KEYS, "start"))
 
 
 def concentrated(rows: DataFrame, small: bool) -> DataFrame:
     """(KEYS, m_i, l_ij, det) of the half of each group of rows(KEYS, q_i) with the smallest determinant that the starts lead to."""
     keys = (*KEYS, "start")
-    best = pinned(_starts(rows, small).withColumn("det", F.lit(float("inf"))))  # a start is no half sample yet
-    live = best
-    while not live.isEmpty():
+    # A start is no half sample yet, so any determinant is a fall.
+    best = pinned(_starts(rows, small).withColumns({"det": F.lit(float("inf")), "open": F.lit(True)}))
+    values = [c for c in best.columns if c not in (*keys, "open")]
+    while not (live := best.filter("open")).isEmpty():
         at = _keyed(rows, live, small, "inner").withColumn("bin", F.floor(F.ln(_distance() + F.lit(1e-6)) * BINS))
-        half = pinned(_middle(at.select(*keys, "bin"), keys, "bin"))
-        near = _keyed(at, half, small, "inner", keys).filter("bin <= mid")
+        near = _keyed(at, _middle(at.select(*keys, "bin"), keys, "bin"), small, "inner", keys).filter("bin <= mid")
         found = _cholesky(_moments(near, keys, HALF_FACTOR), keys)
-        old = best.select(*keys, F.col("det").alias("before"))
-        live = pinned(_keyed(found, old, small, "inner", keys).filter(F.col("det") < F.col("before") * (1 - FALL)).drop("before"))
-        same = best.join(F.broadcast(live.select(*(F.col(k).alias(f"p_{k}") for k in keys))) if small else spread(live.select(*(F.col(k).alias(f"p_{k}") for k in keys))), [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys], "left_anti")
-        best = pinned(same.unionByName(live))
-    return best.groupBy(*KEYS).agg(F.min_by(F.struct(*(c for c in best.columns if c not in keys)), F.struct("det", "start")).alias("b")).select(*KEYS, "b.*")
+        both = _keyed(best, found.select(*keys, F.struct(*values).alias("new")), small, "left", keys)
+        falls = F.coalesce(F.col("new.det") < F.col("det") * (1 - FALL), F.lit(False))
+        best = pinned(both.select(*keys, *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in values), falls.alias("open")))
+    return best.groupBy(*KEYS).agg(F.min_by(F.struct(*values), F.struct("det", "start")).alias("b")).select(*KEYS, "b.*")
 
 
 def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
