@@ -111,13 +111,13 @@ def _distance() -> Column:
     return F.expr(" + ".join(f"{v} * {v}" for v in y))
 
 
-def _cholesky(params: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, m_i, l_ij, det) from c_ij, floors on the diagonal; later entries use earlier ones by name, behind a shuffle of the small table, which keeps expressions small."""
+def _cholesky(params: DataFrame, keys: tuple[str, ...], small: bool) -> DataFrame:
+    """(keys, m_i, l_ij, det) from c_ij, floors on the diagonal; later entries use earlier ones by name, behind a shuffle of the table, which keeps expressions small; a table of few groups is one partition."""
     made = []
     for i, j in LOWER_LEFT:
         v = f"coalesce(c{i}{j}, 0D)" + (f" + {FLOORS[i] ** 2!r}D" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
         made.append(f"sqrt(greatest({v}, {(FLOORS[i] / 10) ** 2!r}D)) AS l{i}{j}" if i == j else f"({v}) / l{j}{j} AS l{i}{j}")
-    return spread(params).selectExpr(*keys, *(f"m{i}" for i in P), *made, " * ".join(f"l{i}{i} * l{i}{i}" for i in P) + " AS det")
+    return (params.repartition(1) if small else spread(params)).selectExpr(*keys, *(f"m{i}" for i in P), *made, " * ".join(f"l{i}{i} * l{i}{i}" for i in P) + " AS det")
 
 
 def _keyed(rows: DataFrame, params: DataFrame, small: bool, how: str = "left", keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -170,7 +170,7 @@ def _starts(rows: DataFrame, small: bool) -> DataFrame:
         both = _keyed(fine.groupBy(*KEYS).agg(*_sums([f"v{i}" for i in P])), scale, small)
         total = " + ".join(f"s{i}{i}" for i in P)
         out = out.unionByName(both.selectExpr(*KEYS, f"'{name}' AS start", *centre, *(f"s{i}{j} / nullif({total}, 0D) * {len(FEATURES)} * b{i} * b{j} / {UNIT**2} AS c{i}{j}" for i, j in LOWER_LEFT)))
-    return _cholesky(out, (*KEYS, "start"))
+    return _cholesky(out, (*KEYS, "start"), small)
 
 
 def concentrated(rows: DataFrame, small: bool) -> DataFrame:
@@ -182,7 +182,7 @@ def concentrated(rows: DataFrame, small: bool) -> DataFrame:
     while not (live := best.filter("open")).isEmpty():
         at = _keyed(rows, live, small, "inner").withColumn("bin", F.floor(F.ln(_distance() + F.lit(1e-6)) * BINS))
         near = _keyed(at, _middle(at.select(*keys, "bin"), keys, "bin"), small, "inner", keys).filter("bin <= mid")
-        found = _cholesky(_moments(near, keys, HALF_FACTOR), keys)
+        found = _cholesky(_moments(near, keys, HALF_FACTOR), keys, small)
         both = _keyed(best, found.select(*keys, F.struct(*values).alias("new")), small, "left", keys)
         falls = F.coalesce(F.col("new.det") < F.col("det") * (1 - FALL), F.lit(False))
         best = pinned(both.select(*keys, *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in values), falls.alias("open")))
@@ -194,7 +194,7 @@ def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
     rows = pinned(vectors.select(*KEYS, *(F.round(F.col(f) * UNIT).cast("long").alias(f"q{i}") for i, f in enumerate(FEATURES))))
     small = rows.select(*KEYS).distinct().count() * len(STARTS) <= BROADCAST_GROUPS
     far = _keyed(rows, concentrated(rows, small), small).withColumn("d2", _distance()).filter(F.col("d2") <= REWEIGHT_CHI2)
-    reweighted = _cholesky(_moments(far, KEYS, 1.0), KEYS)
+    reweighted = _cholesky(_moments(far, KEYS, 1.0), KEYS, small)
     return pinned(reweighted), small
 
 
