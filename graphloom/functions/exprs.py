@@ -101,10 +101,10 @@ def module_key(path: Column) -> Column:
 
 def method_name(text: str) -> str:
     """The method that a symbol id, a call or a qualified name speaks of."""
-    t = text.strip()
-    t = t.rpartition("#")[2] if "#" in t else t
-    t = t.split("@")[0].split("(")[0]
-    t = re.sub(r"<[^>]*>", "", t.rpartition(".")[2] if "." in t else t).strip()
-    words = re.findall(r"[A-Za-z_$][A-Za-z0-9_$]*", t)
+    t = text.strip().rstrip("#")
+    t = (t.rpartition("#")[2] or t).lstrip("@")
+    t = t.split("@")[0].split("(")[0].rstrip(".")
+    t = re.sub(r"<[^>]*>", "", t.rpartition(".")[2] or t).strip()
+    words = re.findall(r"[A-Za-z_][A-Za-z0-9_]*", t)
     inner = [w for w in words if re.search("[A-Z]", w[1:])]
     return inner[-1] if inner else words[-1] if words else t

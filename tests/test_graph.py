@@ -78,6 +78,7 @@ def test_small_functions():
     assert clamp("7.9", 1, 6, 2) == 6 and clamp("x", 1, 6, 2) == 2 and clamp(-1.5, -3, 6, 2) == -1
     assert symbol_id("a\\b.ts", "f", 3) == "symbol:a/b.ts#f@3"
     assert method_name("symbol:a.cs#App.Run<T>(x)@12") == "Run"
+    assert [method_name(x) for x in ("Foo#", "@Foo", "Foo.", "A.b#", "$foo", "")] == ["Foo", "Foo", "Foo", "b", "foo", ""]
 
 
 def test_runtime():
