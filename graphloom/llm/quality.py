@@ -41,6 +41,8 @@ UNIT, FINE = 10_000, 1_000_000
 #: Bins of distances per unit of their logarithm, and the fall of a determinant that is worth another step.
 BINS, FALL = 50, 1e-2
 STARTS = ("median", "sign", "tanh")
+#: Bins of up to so many groups and starts (some 1400 bins of 300 bytes each) are summed in one task; and vectors are read with so many rows a task at least.
+ONE_TASK, TASK_ROWS = 100, 20_000
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -142,16 +144,23 @@ def _medians(rows: DataFrame) -> DataFrame:
     return _middle(long, (*KEYS, "i"), "q").groupBy(*KEYS).agg(*(F.expr(f"max(if(i = {i}, mid, null)) AS a{i}") for i in P))
 
 
-def _sums(values: list[str]) -> list[Column]:
-    """Exact sums of integers and of their products: s_i, s_ij, and their number n."""
-    exact = "cast(sum(cast({} as decimal(20,0))) as double) AS {}"
+def _sums(values: list[str], as_: str = "double") -> list[Column]:
+    """Exact sums of integers and of their products, cast to as_: s_i, s_ij, and their number n."""
+    exact = f"cast(sum(cast({{}} as decimal(20,0))) as {as_}) AS {{}}"
     named = [exact.format(v, f"s{i}") for i, v in enumerate(values)] + [exact.format(f"{values[i]} * {values[j]}", f"s{i}{j}") for i, j in LOWER_LEFT]
     return [F.expr(e) for e in ("count(1) AS n", *named)]
 
 
-def _moments(rows: DataFrame, keys: tuple[str, ...], factor: float) -> DataFrame:
-    """(keys, m_i, c_ij) of rows(q_i)."""
-    sums = rows.groupBy(*keys).agg(*_sums([f"q{i}" for i in P]))
+def _nearer_half(at: DataFrame, keys: tuple[str, ...], one: bool) -> DataFrame:
+    """(keys, n, s_i, s_ij) of the rows of at(keys, bin, q_i) up to the lower median of bin: exact sums per bin, then over the bins; with one, the bins of all keys go to one task."""
+    bins = at.groupBy(*keys, "bin").agg(*_sums([f"q{i}" for i in P], "decimal(30,0)"))
+    run = Window.partitionBy(*keys).orderBy("bin")
+    whole = (bins.repartition(1) if one else bins).withColumns({"before": F.sum("n").over(run) - F.col("n"), "all": F.sum("n").over(Window.partitionBy(*keys))})
+    return whole.filter(2 * F.col("before") < F.col("all")).groupBy(*keys).agg(*(F.expr(f"cast(sum({c}) as {'long' if c == 'n' else 'double'}) AS {c}") for c in bins.columns if c not in (*keys, "bin")))
+
+
+def _moments(sums: DataFrame, keys: tuple[str, ...], factor: float) -> DataFrame:
+    """(keys, m_i, c_ij) of sums(n, s_i, s_ij) of q_i."""
     return sums.selectExpr(*keys, *(f"s{i} / n / {UNIT} AS m{i}" for i in P), *(f"{factor!r}D * (s{i}{j} / n - s{i} / n * s{j} / n) / {UNIT**2} AS c{i}{j}" for i, j in LOWER_LEFT))
 
 
@@ -179,10 +188,10 @@ def concentrated(rows: DataFrame, small: bool) -> DataFrame:
     # A start is no half sample yet, so any determinant is a fall.
     best = pinned(_starts(rows, small).withColumns({"det": F.lit(float("inf")), "open": F.lit(True)}))
     values = [c for c in best.columns if c not in (*keys, "open")]
+    one = small and best.count() <= ONE_TASK
     while not (live := best.filter("open")).isEmpty():
         at = _keyed(rows, live, small, "inner").withColumn("bin", F.floor(F.ln(_distance() + F.lit(1e-6)) * BINS))
-        near = _keyed(at, _middle(at.select(*keys, "bin"), keys, "bin"), small, "inner", keys).filter("bin <= mid")
-        found = _cholesky(_moments(near, keys, HALF_FACTOR), keys, small)
+        found = _cholesky(_moments(_nearer_half(at, keys, one), keys, HALF_FACTOR), keys, small)
         both = _keyed(best, found.select(*keys, F.struct(*values).alias("new")), small, "left", keys)
         falls = F.coalesce(F.col("new.det") < F.col("det") * (1 - FALL), F.lit(False))
         best = pinned(both.select(*keys, *(F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in values), falls.alias("open")))
@@ -192,9 +201,10 @@ def concentrated(rows: DataFrame, small: bool) -> DataFrame:
 def fit(vectors: DataFrame) -> tuple[DataFrame, bool]:
     """Centre, Cholesky factor and determinant per group of vectors(g_lang, g_source, features); the flag says whether they may be broadcast."""
     rows = pinned(vectors.select(*KEYS, *(F.round(F.col(f) * UNIT).cast("long").alias(f"q{i}") for i, f in enumerate(FEATURES))))
-    small = rows.select(*KEYS).distinct().count() * len(STARTS) <= BROADCAST_GROUPS
+    groups, n = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    small, rows = groups * len(STARTS) <= BROADCAST_GROUPS, rows.coalesce(n // TASK_ROWS + 1)
     far = _keyed(rows, concentrated(rows, small), small).withColumn("d2", _distance()).filter(F.col("d2") <= REWEIGHT_CHI2)
-    reweighted = _cholesky(_moments(far, KEYS, 1.0), KEYS, small)
+    reweighted = _cholesky(_moments(far.groupBy(*KEYS).agg(*_sums([f"q{i}" for i in P])), KEYS, 1.0), KEYS, small)
     return pinned(reweighted), small
 
 
