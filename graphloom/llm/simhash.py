@@ -24,7 +24,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
 from graphloom.llm.common import LOWER, UPPER, pinned, spread, table
@@ -263,6 +263,16 @@ def shingles_of(text: str | None, shingle: int = 5, step: int = 1 << 16) -> np.n
     return np.unique(np.concatenate(parts).view(np.int64))
 
 
+#: Columns of :func:`parities`: 256 bits of a shingle set.
+PARITIES = ("p0", "p1", "p2", "p3")
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Per bucket of the hashes' low eight bits, whether an odd number of shingles fall in it; two sets differ in as many shingles as these bits at least."""
+    odd = np.bincount((shingles & 255).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def head_size(n: int) -> int:
     """Of n shingles in one global order, two texts that reach NEAR share one among their first so many."""
     up, down = NEAR
@@ -290,8 +300,8 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     """One row per row of docs: doc_id, th (hash of the text), root; rows share a root if a chain of texts, each NEAR the next by exact Jaccard similarity of shingles, joins them.
 
     Texts with equal shingles are one node. Two sets that reach NEAR share a shingle among the first ``head_size`` of
-    each in any common order (here: rare ones first); such pairs, after bounds on size and position, are compared in full,
-    unless chains of others join them already.
+    each in any common order (here: rare ones first); such pairs, after bounds on size, position and parities, are compared
+    in full, unless chains of others join them already.
     """
     up, down = NEAR
     common = common_shingles(docs, text, shingle)
@@ -299,34 +309,42 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     often = np.array([common[k] for k in keys.tolist()], np.int64)
 
     def sketch(batch: pa.Array) -> pa.Array:
-        node, size, heads = [], [], []
+        node, size, heads, odd = [], [], [], []
         for t in batch:
             g = shingles_of(t.as_py(), shingle)
             node.append(xxhash.xxh64_intdigest(g.tobytes(), SEED))
             size.append(len(g))
+            odd.append(parities(g))
             weight = np.zeros(len(g), np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
                 weight = np.where(keys[at] == g, often[at], 0)
             heads.append(g[np.lexsort((g, weight))[: head_size(len(g))]])
-        return pa.StructArray.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), _listed(heads)], names=["node", "n", "head"])
+        bits = np.array(odd, np.int64).reshape(-1, len(PARITIES))
+        made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), _listed(heads), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(PARITIES)))]
+        return pa.StructArray.from_arrays(made, names=["node", "n", "head", *PARITIES])
 
     def whole(batch: pa.Array) -> pa.Array:
         return _listed([shingles_of(t.as_py(), shingle) for t in batch])
 
     sketch.__annotations__ = whole.__annotations__ = {"batch": pa.Array, "return": pa.Array}
     said = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    rows = pinned(said.select("doc_id", "th", F.arrow_udf(sketch, "node long, n long, head array<long>")("t").alias("s")).select("doc_id", "th", "s.*"))
-    nodes = rows.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("head").alias("head"))
-    first = nodes.select("node", "n", F.posexplode("head").alias("at", "g"))
+    rows = pinned(said.select("doc_id", "th", F.arrow_udf(sketch, "node long, n long, head array<long>, " + ", ".join(f"{p} long" for p in PARITIES))("t").alias("s")).select("doc_id", "th", "s.*"))
+    nodes = rows.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("head").alias("head"), *(F.first(p).alias(p) for p in PARITIES))
+    first = nodes.select("node", "n", *PARITIES, F.posexplode("head").alias("at", "g"))
     several = first.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g")
     grouped = pinned(first.join(spread(several), "g"))
-    lead = grouped.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", "g").alias("o"), "node", "n", "at")).alias("lead"))
+    kept = ("node", "n", "at", *PARITIES)
+    lead = grouped.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", "g").alias("o"), *kept)).alias("lead"))
     members = grouped.join(spread(lead), "g")
 
-    def possible(both: DataFrame) -> DataFrame:
-        shared = F.least("at_u", "at_v") + F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
-        fits = (down * F.least("n_u", "n_v") >= up * F.greatest("n_u", "n_v")) & ((up + down) * shared >= up * (F.col("n_u") + F.col("n_v")))
+    def differ() -> Column:
+        return sum((F.bit_count(F.col(f"{p}_u").bitwiseXOR(F.col(f"{p}_v"))) for p in PARITIES), F.lit(0))
+
+    def possible(both: DataFrame, first_shared: bool) -> DataFrame:
+        # A pair may rest on the first shingle that its heads share; nothing before it is shared then.
+        shared = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) + (F.lit(0) if first_shared else F.least("at_u", "at_v"))
+        fits = ((up + down) * differ() <= (down - up) * (F.col("n_u") + F.col("n_v"))) & (down * F.least("n_u", "n_v") >= up * F.greatest("n_u", "n_v")) & ((up + down) * shared >= up * (F.col("n_u") + F.col("n_v")))
         return both.filter(fits).select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v")).distinct()
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -345,15 +363,21 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
         return pinned(found.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
 
     # A group's members meet its leader first; of what that leaves apart, every pair meets. Pairs of one class need no look.
-    led = members.select(*(F.col(c).alias(f"{c}_u") for c in ("node", "n", "at")), *(F.col(f"lead.{c}").alias(f"{c}_v") for c in ("node", "n", "at")))
-    pairs = pinned(possible(led.filter("node_u <> node_v")))
+    led = members.select(*(F.col(c).alias(f"{c}_u") for c in kept), *(F.col(f"lead.{c}").alias(f"{c}_v") for c in kept))
+    pairs = pinned(possible(led.filter("node_u <> node_v"), False))
     sure = near(pairs)
     joined = components(sure).select(F.col("u").alias("node"), F.col("root").alias("c"))
     apart = pinned(grouped.join(spread(joined), "node", "left").withColumn("c", F.coalesce("c", "node")))
-    classes = apart.select("g", "c").distinct()
-    met = pinned(classes.select("g", F.col("c").alias("c_u")).join(classes.select("g", F.col("c").alias("c_v")), "g").filter("c_u < c_v"))
-    u, v = (apart.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("c", "node", "n", "at"))) for s in "uv")
-    rest = possible(met.join(u, ["g", "c_u"]).join(v, ["g", "c_v"])).join(pairs, ["node_u", "node_v"], "left_anti")
+    # The bounds of possible, as far as they hold for all members of two classes; most classes are one text, whose parities count.
+    alone = F.count(F.lit(1)) == 1
+    classes = apart.groupBy("g", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("tail"), *(F.when(alone, F.min(p)).alias(p) for p in PARITIES))
+    x, y = (classes.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("c", "lo", "hi", "tail", *PARITIES))) for s in "uv")
+    meet = (down * F.col("hi_u") >= up * F.col("lo_v")) & (down * F.col("hi_v") >= up * F.col("lo_u"))
+    meet = meet & ((up + down) * F.least("tail_u", "tail_v") >= up * (F.col("lo_u") + F.col("lo_v")))
+    meet = meet & ((up + down) * F.coalesce(differ(), F.lit(0)) <= (down - up) * (F.col("hi_u") + F.col("hi_v")))
+    met = pinned(x.join(y, "g").filter((F.col("c_u") < F.col("c_v")) & meet).select("g", "c_u", "c_v"))
+    u, v = (apart.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("c", *kept))) for s in "uv")
+    rest = possible(met.join(u, ["g", "c_u"]).join(v, ["g", "c_v"]), True).join(pairs, ["node_u", "node_v"], "left_anti")
     roots = components(sure.union(near(pinned(rest))))
     return rows.select("doc_id", "th", "node").join(spread(roots.withColumnRenamed("u", "node")), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 

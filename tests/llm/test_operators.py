@@ -468,3 +468,14 @@ def test_ids_by_pieces_equal_the_whole_tokenizer():
     for text in texts:
         ids = whole.encode(text, add_special_tokens=False).ids
         assert ids_of(text, path) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    for n, m in ((0, 0), (0, 3), (40, 1), (300, 60), (2000, 900)):
+        a = np.unique(rng.integers(-(2**63), 2**63, n))
+        b = np.unique(np.concatenate([a[m // 2 :], rng.integers(-(2**63), 2**63, m)]))
+        bits = np.bitwise_xor(simhash.parities(a), simhash.parities(b)).view(np.uint8)
+        assert len(simhash.parities(a)) == len(simhash.PARITIES)
+        assert np.unpackbits(bits).sum() <= len(np.setxor1d(a, b))
+    assert np.unpackbits(np.bitwise_xor(simhash.parities(a), simhash.parities(a[1:])).view(np.uint8)).sum() == 1
