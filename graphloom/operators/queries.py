@@ -83,12 +83,28 @@ class Graph:
         rank = [collated(F.coalesce(c, F.lit(""))) if c != "line" else F.coalesce(c, F.lit(0)) for c in self.REFERENCE_ORDER]
         return {"roots": roots, "all": found, "references": page(found, rank, offset, limit), "files": files.orderBy(F.desc("references"), by_id("file_path")), "summary": found.agg(F.count(F.lit(1)).alias("total")).withColumn("has_more", F.col("total") > offset + limit)}
 
-    def method_usage(self, text: str, **options: object) -> dict[str, DataFrame]:
-        """References of the method a text speaks of, else of the text itself; at most 1000 an attempt."""
-        first = self.references(method_name(text), limit=1000, matching="name", **options)  # type: ignore[arg-type]
-        if method_name(text) != text.strip() and (first["roots"].isEmpty() or first["all"].isEmpty()):
-            first = self.references(text, limit=1000, **options)  # type: ignore[arg-type]
-        return first
+    USAGE_KEY = ("kind", "file_path", "line", "from_id", "to_id", "flow", "resolution")
+
+    def method_usage(self, text: str, limit: int = 200, offset: int = 0, **options: object) -> dict[str, DataFrame]:
+        """References of the method a text speaks of and, where that gives none, of the text itself; at most 1000 an attempt.
+
+        Attempts are merged: of references equal in USAGE_KEY the last attempt's stays. A reference without a line comes last in its file.
+        """
+        limit, offset, name = clamp(limit, 1, 1000, 200), clamp(offset, 0, 100_000, 0), method_name(text)
+        tries = [self.references(name, limit=1000, matching="name", **options)]  # type: ignore[arg-type]
+        if name != text.strip() and (tries[0]["roots"].isEmpty() or tries[0]["references"].isEmpty()):
+            tries.append(self.references(text, limit=1000, **options))  # type: ignore[arg-type]
+        roots, found = tries[0]["roots"], tries[0]["references"].withColumn("attempt", F.lit(0))
+        for k, t in enumerate(tries[1:], 1):
+            roots, found = roots.unionByName(t["roots"]), found.unionByName(t["references"].withColumn("attempt", F.lit(k)))
+        columns = tries[0]["references"].columns
+        rest = [c for c in columns if c not in self.USAGE_KEY]
+        merged = found.groupBy(*self.USAGE_KEY).agg(F.max_by(F.struct(*rest), "attempt").alias("last")).select(*self.USAGE_KEY, "last.*").select(columns)
+        at = F.coalesce("file_path", "from_file_path", "to_file_path")
+        files = merged.groupBy(at.alias("file_path")).agg(F.count(F.lit(1)).alias("references")).filter("file_path is not null")
+        rank = [collated(F.coalesce(at, F.lit(""))), F.col("line").asc_nulls_last(), *(collated(F.col(c)) for c in ("from_id", "to_id", "kind", "flow", "resolution"))]
+        summary = merged.agg(F.count(F.lit(1)).alias("total")).withColumn("has_more", F.col("total") > offset + limit)
+        return {"roots": roots.dropDuplicates(["id"]), "all": merged, "references": page(merged, rank, offset, limit), "files": files.orderBy(F.desc("references"), by_id("file_path")), "summary": summary}
 
     def file_references(self, path: str, direction: str = "both", structural: bool = False, external_names: bool = True, aliases: bool = True, test_only: bool = False) -> dict[str, DataFrame]:
         """Other files that this one uses or is used by, with counts each way."""
