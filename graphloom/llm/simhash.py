@@ -330,11 +330,13 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     sketch.__annotations__ = whole.__annotations__ = {"batch": pa.Array, "return": pa.Array}
     said = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     rows = pinned(said.select("doc_id", "th", F.arrow_udf(sketch, "node long, n long, head array<long>, " + ", ".join(f"{p} long" for p in PARITIES))("t").alias("s")).select("doc_id", "th", "s.*"))
-    nodes = rows.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("head").alias("head"), *(F.first(p).alias(p) for p in PARITIES))
-    first = nodes.select("node", "n", *PARITIES, F.posexplode("head").alias("at", "g"))
+    nodes = pinned(rows.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("head").alias("head"), *(F.first(p).alias(p) for p in PARITIES)))
+    odd_bits = nodes.select("node", *PARITIES)
+    # One row a head shingle is the largest table here, so it holds no more than the place; parities join the few that need them.
+    kept = ("node", "n", "at")
+    first = nodes.select("node", "n", F.posexplode("head").alias("at", "g"))
     several = first.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g")
     grouped = pinned(first.join(spread(several), "g"))
-    kept = ("node", "n", "at", *PARITIES)
     lead = grouped.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", "g").alias("o"), *kept)).alias("lead"))
     members = grouped.join(spread(lead), "g")
 
@@ -344,8 +346,11 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     def possible(both: DataFrame, first_shared: bool) -> DataFrame:
         # A pair may rest on the first shingle that its heads share; nothing before it is shared then.
         shared = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) + (F.lit(0) if first_shared else F.least("at_u", "at_v"))
-        fits = ((up + down) * differ() <= (down - up) * (F.col("n_u") + F.col("n_v"))) & (down * F.least("n_u", "n_v") >= up * F.greatest("n_u", "n_v")) & ((up + down) * shared >= up * (F.col("n_u") + F.col("n_v")))
-        return both.filter(fits).select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v")).distinct()
+        fits = (down * F.least("n_u", "n_v") >= up * F.greatest("n_u", "n_v")) & ((up + down) * shared >= up * (F.col("n_u") + F.col("n_v")))
+        left = both.filter(fits).select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v"), (F.col("n_u") + F.col("n_v")).alias("n")).distinct()
+        for side in "uv":
+            left = left.join(odd_bits.select(F.col("node").alias(f"node_{side}"), *(F.col(p).alias(f"{p}_{side}") for p in PARITIES)), f"node_{side}")
+        return left.filter((up + down) * differ() <= (down - up) * F.col("n")).select("node_u", "node_v")
 
     def near(pairs: DataFrame) -> DataFrame:
         # What two sets share beyond their heads lies past the end of the head that ends first.
@@ -353,7 +358,7 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
         bound = F.size(F.array_intersect("h_u", "h_v")) + F.greatest(F.col("n_u") - F.size("h_u"), F.col("n_v") - F.size("h_v"))
         pairs = pinned(pairs.join(a, "node_u").join(b, "node_v").filter((up + down) * bound >= up * (F.col("n_u") + F.col("n_v"))).select("node_u", "node_v"))
         met = pairs.select(F.col("node_u").alias("node")).union(pairs.select("node_v")).distinct()
-        asked = pinned(met.join(rows.groupBy("node").agg(F.min("th").alias("th")), "node"))
+        asked = pinned(met.join(nodes.select("node", "th"), "node"))
         small = asked.count() <= BROADCAST_TEXTS
         texts = said.select("th", "t").join(F.broadcast(asked) if small else spread(asked), "th").dropDuplicates(["node"])
         sets = pinned(texts.select("node", F.arrow_udf(whole, "array<long>")("t").alias("g")))
@@ -367,7 +372,7 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     pairs = pinned(possible(led.filter("node_u <> node_v"), False))
     sure = near(pairs)
     joined = components(sure).select(F.col("u").alias("node"), F.col("root").alias("c"))
-    apart = pinned(grouped.join(spread(joined), "node", "left").withColumn("c", F.coalesce("c", "node")))
+    apart = pinned(grouped.join(spread(joined), "node", "left").withColumn("c", F.coalesce("c", "node")).join(spread(odd_bits), "node"))
     # The bounds of possible, as far as they hold for all members of two classes; most classes are one text, whose parities count.
     alone = F.count(F.lit(1)) == 1
     classes = apart.groupBy("g", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("tail"), *(F.when(alone, F.min(p)).alias(p) for p in PARITIES))
