@@ -296,8 +296,13 @@ def common_shingles(docs: DataFrame, text: str, shingle: int, share: int = 8, le
     return {r.g: r.n for r in seen.filter(F.col("n") >= least).orderBy(F.desc("n"), "g").limit(most).collect()}
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns."""
+    return F.xxhash64(*docs.columns)
+
+
 def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
-    """One row per row of docs: doc_id, th (hash of the text), root; rows share a root if a chain of texts, each NEAR the next by exact Jaccard similarity of shingles, joins them.
+    """One row per row of docs: doc_id, th (hash of the text), o (hash of the row), root; rows share a root if a chain of texts, each NEAR the next by exact Jaccard similarity of shingles, joins them.
 
     Texts with equal shingles are one node. Two sets that reach NEAR share a shingle among the first ``head_size`` of
     each in any common order (here: rare ones first); such pairs, after bounds on size, position and parities, are compared
@@ -328,8 +333,8 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
         return _listed([shingles_of(t.as_py(), shingle) for t in batch])
 
     sketch.__annotations__ = whole.__annotations__ = {"batch": pa.Array, "return": pa.Array}
-    said = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    rows = pinned(said.select("doc_id", "th", F.arrow_udf(sketch, "node long, n long, head array<long>, " + ", ".join(f"{p} long" for p in PARITIES))("t").alias("s")).select("doc_id", "th", "s.*"))
+    said = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), row_key(docs).alias("o"), F.col(text).alias("t"))
+    rows = pinned(said.select("doc_id", "th", "o", F.arrow_udf(sketch, "node long, n long, head array<long>, " + ", ".join(f"{p} long" for p in PARITIES))("t").alias("s")).select("doc_id", "th", "o", "s.*"))
     nodes = pinned(rows.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("head").alias("head"), *(F.first(p).alias(p) for p in PARITIES)))
     odd_bits = nodes.select("node", *PARITIES)
     # One row a head shingle is the largest table here, so it holds no more than the place; parities join the few that need them.
@@ -384,16 +389,22 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     u, v = (apart.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("c", *kept))) for s in "uv")
     rest = possible(met.join(u, ["g", "c_u"]).join(v, ["g", "c_v"]), True).join(pairs, ["node_u", "node_v"], "left_anti")
     roots = components(sure.union(near(pinned(rest))))
-    return rows.select("doc_id", "th", "node").join(spread(roots.withColumnRenamed("u", "node")), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "th", "o", "node").join(spread(roots.withColumnRenamed("u", "node")), "node", "left").select("doc_id", "th", "o", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """One row of docs per class of :func:`similar_classes`: the smallest id (null last), then text hash, then row hash. Columns as in docs."""
+    """One row of docs per class of :func:`similar_classes`: the smallest id (null last), then text hash, then row hash. Columns as in docs.
+
+    Whole rows are shuffled once, to meet the keys that stay. Only rows equal in every column share a key; the one key of
+    theirs that stays is marked, and those rows alone are reduced to one.
+    """
     classes = similar_classes(docs, id_col, text, shingle)
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("m")).select("m.doc_id", "m.th")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(*docs.columns).alias("o"))
-    kept = rows.join(spread(first), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")), "left_semi")
-    return kept.groupBy("id", "h").agg(F.min_by("row", "o").alias("row")).select("row.*")
+    keys = classes.groupBy("root", F.col("doc_id").isNull().alias("none"), "doc_id", "th", "o").agg(F.count(F.lit(1)).alias("c"))
+    first = keys.groupBy("root").agg(F.min(F.struct("none", "doc_id", "th", "o", "c")).alias("m")).select("m.doc_id", "m.th", "m.o", (F.col("m.c") > 1).alias("several"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), row_key(docs).alias("k"))
+    kept = rows.join(spread(first), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")) & (F.col("k") == F.col("o")))
+    equal = kept.filter("several").groupBy("id", "h", "k").agg(F.first("row").alias("row"))
+    return kept.filter("not several").select("row.*").unionByName(equal.select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
