@@ -36,8 +36,8 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt round robin, so that a join after it shuffles this side anew and adaptive execution may split a skewed key."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """df with its partitioning forgotten and its rows left where they are, so that a join after it shuffles this side anew and adaptive execution may split a skewed key."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def ids(spark: SparkSession, values: list[str]) -> DataFrame:
