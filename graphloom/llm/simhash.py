@@ -206,27 +206,33 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[d
         yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
 
+#: Edges a task, where there are too few to fill all shuffle partitions.
+EDGES_A_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (u, root): the smallest vertex of each edge's component, by alternating large and small stars.
 
     A step joins edges with each vertex's smallest neighbour; both sides are shuffled by the join, so adaptive execution
-    splits a hub. Each round ends in a checkpoint; the steps end when no edge moves.
+    splits a hub. Tasks read EDGES_A_TASK edges or more while there are fewer than shuffle partitions times that. Each round ends in a checkpoint; the steps end when no edge moves.
     """
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         return tuple(r)
 
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = pinned(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = mark(edges)
     while before[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = min(most, 1 + before[0] // EDGES_A_TASK)
+        both = edges.coalesce(parts).union(edges.coalesce(parts).select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(spread(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = pinned(large)
+        large = both.filter("v > u").join(low.coalesce(parts), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = pinned(large.coalesce(parts))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(spread(low), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = pinned(moved.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        moved = large.join(low.coalesce(parts), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = pinned(moved.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(parts))
         after = mark(edges)
         if after == before:
             break
@@ -337,11 +343,11 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     rows = pinned(said.select("doc_id", "th", "o", F.arrow_udf(sketch, "node long, n long, head array<long>, " + ", ".join(f"{p} long" for p in PARITIES))("t").alias("s")).select("doc_id", "th", "o", "s.*"))
     nodes = pinned(rows.groupBy("node").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("head").alias("head"), *(F.first(p).alias(p) for p in PARITIES)))
     odd_bits = nodes.select("node", *PARITIES)
-    # One row a head shingle is the largest table here, so it holds no more than the place; parities join the few that need them.
-    kept = ("node", "n", "at")
+    # One row a head shingle is the largest table here, so it holds no more than the place; parities join what several share.
     first = nodes.select("node", "n", F.posexplode("head").alias("at", "g"))
     several = first.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g")
-    grouped = pinned(first.join(spread(several), "g"))
+    grouped = pinned(first.join(spread(several), "g").join(odd_bits, "node"))
+    kept = ("node", "n", "at", *PARITIES)
     lead = grouped.groupBy("g").agg(F.min(F.struct(F.xxhash64("node", "g").alias("o"), *kept)).alias("lead"))
     members = grouped.join(spread(lead), "g")
 
@@ -351,11 +357,8 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     def possible(both: DataFrame, first_shared: bool) -> DataFrame:
         # A pair may rest on the first shingle that its heads share; nothing before it is shared then.
         shared = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) + (F.lit(0) if first_shared else F.least("at_u", "at_v"))
-        fits = (down * F.least("n_u", "n_v") >= up * F.greatest("n_u", "n_v")) & ((up + down) * shared >= up * (F.col("n_u") + F.col("n_v")))
-        left = both.filter(fits).select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v"), (F.col("n_u") + F.col("n_v")).alias("n")).distinct()
-        for side in "uv":
-            left = left.join(odd_bits.select(F.col("node").alias(f"node_{side}"), *(F.col(p).alias(f"{p}_{side}") for p in PARITIES)), f"node_{side}")
-        return left.filter((up + down) * differ() <= (down - up) * F.col("n")).select("node_u", "node_v")
+        fits = ((up + down) * differ() <= (down - up) * (F.col("n_u") + F.col("n_v"))) & (down * F.least("n_u", "n_v") >= up * F.greatest("n_u", "n_v")) & ((up + down) * shared >= up * (F.col("n_u") + F.col("n_v")))
+        return both.filter(fits).select(F.least("node_u", "node_v").alias("node_u"), F.greatest("node_u", "node_v").alias("node_v")).distinct()
 
     def near(pairs: DataFrame) -> DataFrame:
         # What two sets share beyond their heads lies past the end of the head that ends first.
@@ -377,7 +380,7 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
     pairs = pinned(possible(led.filter("node_u <> node_v"), False))
     sure = near(pairs)
     joined = components(sure).select(F.col("u").alias("node"), F.col("root").alias("c"))
-    apart = pinned(grouped.join(spread(joined), "node", "left").withColumn("c", F.coalesce("c", "node")).join(spread(odd_bits), "node"))
+    apart = pinned(grouped.join(spread(joined), "node", "left").withColumn("c", F.coalesce("c", "node")))
     # The bounds of possible, as far as they hold for all members of two classes; most classes are one text, whose parities count.
     alone = F.count(F.lit(1)) == 1
     classes = apart.groupBy("g", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("tail"), *(F.when(alone, F.min(p)).alias(p) for p in PARITIES))
@@ -395,12 +398,12 @@ def similar_classes(docs: DataFrame, id_col: str, text: str, shingle: int) -> Da
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """One row of docs per class of :func:`similar_classes`: the smallest id (null last), then text hash, then row hash. Columns as in docs.
 
-    Whole rows are shuffled once, to meet the keys that stay. Only rows equal in every column share a key; the one key of
-    theirs that stays is marked, and those rows alone are reduced to one.
+    Whole rows are shuffled once, to meet the keys that stay. Only rows equal in every column share a key, so what stays
+    of a class of one row is done; what stays of the others is reduced to one row a key.
     """
     classes = similar_classes(docs, id_col, text, shingle)
-    keys = classes.groupBy("root", F.col("doc_id").isNull().alias("none"), "doc_id", "th", "o").agg(F.count(F.lit(1)).alias("c"))
-    first = keys.groupBy("root").agg(F.min(F.struct("none", "doc_id", "th", "o", "c")).alias("m")).select("m.doc_id", "m.th", "m.o", (F.col("m.c") > 1).alias("several"))
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "o")).alias("m"), (F.count(F.lit(1)) > 1).alias("several"))
+    first = first.select("m.doc_id", "m.th", "m.o", "several")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), row_key(docs).alias("k"))
     kept = rows.join(spread(first), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")) & (F.col("k") == F.col("o")))
     equal = kept.filter("several").groupBy("id", "h", "k").agg(F.first("row").alias("row"))
