@@ -21,6 +21,20 @@ def view_path(path: Column) -> Column:
     return F.regexp_replace(normal_path(path), r"^\./", "")
 
 
+#: Fixed value: what the paths of nodes without a file begin with.
+VIRTUAL = "__virtual__/"
+
+
+def virtual_path(kind: Column, node: Column) -> Column:
+    """The path that stands for a node without a file; null if kind or id is null."""
+    return F.concat(F.lit(VIRTUAL), kind, F.lit("/"), F.translate(normal_path(node), ":", "_"))
+
+
+def is_virtual_path(path: Column) -> Column:
+    """Null is no path at all, so not a virtual one."""
+    return F.coalesce(path.startswith(VIRTUAL), F.lit(False))
+
+
 def collated(c: Column) -> Column:
     """For ordering: user-visible order is by locale collation, not by bytes."""
     return F.collate(c, "UNICODE")
@@ -96,7 +110,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 def module_key(path: Column) -> Column:
     """First path segment, ``(root)`` for a bare file, ``(virtual)`` for none."""
     p = view_path(path)
-    return F.when(path.isNull() | (p == "") | p.startswith("__virtual__/"), "(virtual)").when(~p.contains("/"), "(root)").otherwise(F.split(p, "/")[0])
+    return F.when(path.isNull() | (p == "") | is_virtual_path(p), "(virtual)").when(~p.contains("/"), "(root)").otherwise(F.split(p, "/")[0])
 
 
 def method_name(text: str) -> str:

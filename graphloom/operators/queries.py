@@ -189,7 +189,7 @@ class Graph:
         )
         n = visited.filter("file_path is not null").groupBy("file_path").agg(F.count(F.lit(1)).alias("hits"))
         inner_edges = touched.join(visited.select(F.col("id").alias("src")), "src", "left_semi").join(visited.select(F.col("id").alias("dst")), "dst", "left_semi").select(cols)
-        return {"visited": visited, "nodes": page(visited, [by_id()], offset, limit), "edges": page(inner_edges, [collated(edge_key())], 0, edge_limit), "files": n, "touchpoints": touch}
+        return {"visited": visited, "nodes": page(visited, [by_id()], offset, limit), "edges": page(inner_edges, [collated(edge_key())], 0, edge_limit), "files": n, "touchpoints": touch.orderBy(F.desc("references"), collated(F.col("symbol")), by_id("symbol_id"))}
 
     def clusters(self) -> tuple[DataFrame, DataFrame]:
         """(clusters: root, size, internal_edges, density; members: id, root) over symbols, externals and semantic edges."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.functions.exprs import common_prefix, edge_key, is_test_path, module_key, name_variants
+from graphloom.functions.exprs import common_prefix, edge_key, is_test_path, is_virtual_path, module_key, name_variants, virtual_path
 from graphloom.operators.queries import Graph
 from graphloom.operators.resolver import resolved
 from graphloom.operators.rollup import degrees, first_edges, merged_nodes, module_graph, upserted
@@ -278,6 +278,12 @@ def module_keys(g: Graph) -> DataFrame:
     return g.nodes.select("id", module_key(F.col("file_path")).alias("module"))
 
 
+@query("h14_virtual_paths", "SELECT id, '__virtual__/' || kind || '/' || replace(replace(id, chr(92), '/'), ':', '_') AS path, TRUE AS virtual FROM nodes WHERE file_path IS NULL")
+def virtual_paths(g: Graph) -> DataFrame:
+    made = g.nodes.filter("file_path IS NULL").select("id", virtual_path(F.col("kind"), F.col("id")).alias("path"))
+    return made.withColumn("virtual", is_virtual_path(F.col("path")))
+
+
 def parts_query(name: str, sql: str):
     """Registers a function of the part table."""
 

@@ -1,4 +1,4 @@
-from graphloom.functions.exprs import method_name
+from graphloom.functions.exprs import is_virtual_path, method_name, virtual_path
 from graphloom.operators.queries import Graph
 from graphloom.schema import clamp, symbol_id
 from graphloom.sources.scan import normal_changes, scan
@@ -88,3 +88,17 @@ def test_runtime():
     assert set(failed.queue) == {"a", "b"} and failed.lifecycle == "failed"
     done = failed.begin().complete(400)
     assert done.freshness(500) == "fresh" and done.freshness(70_000) == "stale" and Runtime().freshness(1) == "unknown"
+
+
+def test_virtual_paths(spark):
+    rows = spark.createDataFrame([("external", "external:a\\b:c"), ("module", "module:m"), (None, "x"), ("file", None)], "kind string, id string")
+    made = rows.select(virtual_path(rows.kind, rows.id).alias("p"))
+    assert [r.p for r in made.collect()] == ["__virtual__/external/external_a/b_c", "__virtual__/module/module_m", None, None]
+    assert [r.v for r in made.select(is_virtual_path(made.p).alias("v")).collect()] == [True, True, False, False]
+
+
+def test_touchpoints_are_ordered(spark):
+    nodes = [symbol("s", "a.ts"), *(external(x) for x in ("zed", "Beta", "alpha"))]
+    edges = [("calls", "symbol:s", f"external:{x}", "a.ts", k) for k, x in enumerate(["zed", "zed", "Beta", "alpha"])]
+    touch = graph(spark, nodes, edges).impact(files=["a.ts"])["touchpoints"].collect()
+    assert [(r.symbol, r.references) for r in touch] == [("zed", 2), ("alpha", 1), ("Beta", 1)]
