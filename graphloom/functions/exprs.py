@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from graphloom.schema import DECAY, OTHER_WEIGHT, WEIGHTS
 
-TEST_PATH = r"(?i)(^|/)(tests?|specs?|__tests__|__mocks__|mocks)(/|$)|[.-](test|spec)\."
+TEST_PATH = r"(?i)(^|/)(tests?|specs?|__tests__|__mocks__)(/|$)|[.-](test|spec)\."
 
 
 def normal_path(path: Column) -> Column:

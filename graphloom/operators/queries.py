@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from graphloom.functions.exprs import collated, edge_key, is_test_path, lexical_score, method_name, weight
-from graphloom.operators.frames import by_id, page
+from graphloom.functions.exprs import collated, edge_key, is_test_path, lexical_score, method_name, normal_path, weight
+from graphloom.operators.frames import by_id, page, pinned
 from graphloom.operators.traverse import adjacency, closure, connected, reached, walk_scores
 from graphloom.schema import ENTRY_NAMES, allowed, clamp
 
@@ -203,16 +203,26 @@ class Graph:
         found = sizes.join(within, "root", "left").select("root", "size", F.coalesce("internal_edges", F.lit(0).cast("long")).alias("internal_edges"))
         return found.withColumn("density", F.when(F.col("size") < 2, F.lit(0.0)).otherwise(F.round(F.col("internal_edges") / pairs, 4))), members
 
-    def related_clusters(self, files: list[str] = (), symbols: list[str] = (), min_size: int = 2, limit: int = 20, offset: int = 0, member_limit: int = 25) -> DataFrame:  # type: ignore[assignment]
-        """Clusters by seed hits, size, density; without any seed found, all of them."""
+    def related_clusters(self, files: list[str] = (), symbols: list[str] = (), min_size: int = 2, limit: int = 20, offset: int = 0, member_limit: int = 25) -> dict[str, DataFrame]:  # type: ignore[assignment]
+        """clusters: by seed hits, size, density; without any seed found, all of them. files: root, file_path, hits. members: the first of each cluster.
+
+        Files and members are found for the clusters of the page only, at most 1000, whose roots are broadcast.
+        """
         found, members = self.clusters()
         seeds = self.nodes.filter(F.col("kind").isin("symbol", "external") & (F.col("file_path").isin(list(files)) | F.col("name").isin(list(symbols)) | F.col("id").isin(list(symbols)))).select("id").distinct()
-        hit = members.join(seeds.withColumn("seed", F.lit(1)), "id", "left")
-        per = hit.groupBy("root").agg(F.count("seed").alias("seed_hits"), F.slice(F.array_sort(F.collect_list("id")), 1, clamp(member_limit, 1, 500, 25)).alias("members"))
-        out = found.filter(F.col("size") >= clamp(min_size, 1, 10_000, 2)).join(per, "root")
+        hits = members.join(seeds, "id", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("seed_hits"))
+        out = found.filter(F.col("size") >= clamp(min_size, 1, 10_000, 2)).join(hits, "root", "left").withColumn("seed_hits", F.coalesce("seed_hits", F.lit(0).cast("long")))
         if not seeds.isEmpty():
             out = out.filter("seed_hits > 0")
-        return page(out, [F.desc("seed_hits"), F.desc("size"), F.desc("density"), by_id("root")], clamp(offset, 0, 100_000, 0), clamp(limit, 1, 1000, 20))
+        top = pinned(page(out, [F.desc("seed_hits"), F.desc("size"), F.desc("density"), by_id("root")], clamp(offset, 0, 100_000, 0), clamp(limit, 1, 1000, 20)))
+        inside = members.join(F.broadcast(top.select("root")), "root")
+        placed = self.nodes.filter("file_path <> ''").select("id", normal_path(F.col("file_path")).alias("file_path"))
+        rank = F.row_number().over(Window.partitionBy("root").orderBy(by_id(), "id"))
+        return {
+            "clusters": top,
+            "files": inside.join(placed, "id").groupBy("root", "file_path").agg(F.count(F.lit(1)).alias("hits")).orderBy("root", F.desc("hits"), collated(F.col("file_path"))),
+            "members": inside.select("root", "id", rank.alias("place")).filter(F.col("place") <= clamp(member_limit, 1, 500, 25)),
+        }
 
     def process_flow(self, entries: list[str] = (), limit: int = 100, offset: int = 0, edge_limit: int = 500, structural: bool = False) -> dict[str, DataFrame]:  # type: ignore[assignment]
         """Entry points and one outbound step from them."""

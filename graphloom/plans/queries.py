@@ -268,7 +268,7 @@ def prefixes(g: Graph) -> DataFrame:
     return paths.crossJoin(every).select(F.col("file_path").alias("a"), F.explode("all").alias("b")).withColumn("n", common_prefix(F.col("a"), F.col("b")))
 
 
-@query("b8_test_paths", "SELECT id, regexp_matches(lower(file_path), '(^|/)(tests?|specs?|__tests__|__mocks__|mocks)(/|$)|[.-](test|spec)[.]') AS is_test FROM nodes WHERE kind = 'file'")
+@query("b8_test_paths", "SELECT id, regexp_matches(lower(file_path), '(^|/)(tests?|specs?|__tests__|__mocks__)(/|$)|[.-](test|spec)[.]') AS is_test FROM nodes WHERE kind = 'file'")
 def test_paths(g: Graph) -> DataFrame:
     return g.nodes.filter("kind = 'file'").select("id", is_test_path(F.col("file_path")).alias("is_test"))
 

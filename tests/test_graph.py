@@ -1,4 +1,4 @@
-from graphloom.functions.exprs import is_virtual_path, method_name, virtual_path
+from graphloom.functions.exprs import is_test_path, is_virtual_path, method_name, virtual_path
 from graphloom.operators.queries import Graph
 from graphloom.schema import clamp, symbol_id
 from graphloom.sources.scan import normal_changes, scan
@@ -102,3 +102,20 @@ def test_touchpoints_are_ordered(spark):
     edges = [("calls", "symbol:s", f"external:{x}", "a.ts", k) for k, x in enumerate(["zed", "zed", "Beta", "alpha"])]
     touch = graph(spark, nodes, edges).impact(files=["a.ts"])["touchpoints"].collect()
     assert [(r.symbol, r.references) for r in touch] == [("zed", 2), ("alpha", 1), ("Beta", 1)]
+
+
+def test_related_clusters(spark):
+    nodes = [symbol("a", "x.ts"), symbol("B", "x.ts"), symbol("c", "y.ts"), external("e"), symbol("p", "z.ts"), symbol("q", "z.ts"), symbol("alone", "w.ts")]
+    edges = [("calls", f"symbol:{u}", v, None, 1) for u, v in (("a", "symbol:B"), ("B", "symbol:c"), ("c", "external:e"), ("p", "symbol:q"))]
+    g = graph(spark, nodes, edges)
+    out = g.related_clusters(member_limit=3)
+    assert [(r["size"], r.seed_hits) for r in out["clusters"].collect()] == [(4, 0), (2, 0)]
+    assert [(r.file_path, r.hits) for r in out["files"].collect()][:2] == [("x.ts", 2), ("y.ts", 1)]
+    assert [r.id for r in out["members"].orderBy("root", "place").collect()] == ["external:e", "symbol:a", "symbol:B", "symbol:p", "symbol:q"]
+    assert [(r["size"], r.seed_hits) for r in g.related_clusters(files=["z.ts"])["clusters"].collect()] == [(2, 2)]
+    assert g.related_clusters(symbols=["nobody"])["clusters"].count() == 2
+
+
+def test_only_double_underscored_mocks_are_tests(spark):
+    rows = spark.createDataFrame([("mocks/a.ts", False), ("__mocks__/a.ts", True), ("src/a-spec.ts", True), (None, False)], "path string, want boolean")
+    assert all(r.got == r.want for r in rows.select("want", is_test_path(rows.path).alias("got")).collect())
