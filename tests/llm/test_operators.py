@@ -83,6 +83,43 @@ def test_near_copies_by_jaccard(spark):
     assert {r.doc_id for r in simhash.keep_one_per_class(docs).collect()} == want
 
 
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 90)]
+        rows.append((10 * i, " ".join(base)))
+        for k, n in enumerate((1, 1, 2, 3), 1):
+            edited = list(base)
+            for at in rng.choice(len(base), n, replace=False):
+                edited[at] = f"e{i}_{k}"
+            rows.append((10 * i + k, " ".join(edited)))
+    rows += [(1000, rows[0][1].upper()), (1001, ""), (1002, None)]
+    sets = {d: simhash.shingles_of(x) for d, x in rows}
+    node = {d: np.uint64(simhash.xxhash.xxh64_intdigest(g.tobytes(), simhash.SEED)).view(np.int64) for d, g in sets.items()}
+    fps = {d: simhash.fingerprint(x) for d, x in rows}
+    jaccard = lambda d, e: 1 if node[d] == node[e] else np.intersect1d(sets[d], sets[e]).size / np.union1d(sets[d], sets[e]).size
+    root, left = {}, sorted(fps)
+    while left:
+        reach, todo = {left[0]}, [left[0]]
+        while todo:
+            x = todo.pop()
+            more = {e for e in left if (fps[e] ^ fps[x]).bit_count() <= 4} - reach
+            reach |= more
+            todo += more
+        lead = min(reach, key=lambda d: (node[d], d))
+        root |= {d: node[lead] if jaccard(d, lead) >= 0.8 else node[d] for d in reach}
+        left = [d for d in left if d not in reach]
+    want = {min(d for d in root if root[d] == r) for r in root.values()}
+    pairs = [(d, e) for d in fps for e in fps if d < e and node[d] != node[e] and (fps[d] ^ fps[e]).bit_count() <= 4]
+    assert any(jaccard(d, e) < 0.8 for d, e in pairs) and len(want) < len(set(node.values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked = spark.createDataFrame([(int(node[d]), simhash._signed(fps[d])) for d in fps], "node long, fp long")
+    assert {n for r in simhash.led_by_class(marked, 4).collect() for n in r} == {int(node[d]) for p in pairs for d in p}
+    monkeypatch.setattr(simhash, "head_size", lambda n: 0)  # no shingle to meet by: links of the stage are the fingerprints'
+    assert {r.doc_id for r in simhash.keep_one_per_class(docs).collect()} == want
+
+
 def test_one_row_per_class(spark):
     other = " ".join(f"v{k}" for k in range(60))
     rows = [(1, PROSE, "a"), (2, PROSE, "b"), (2, other, "c"), (None, other, "d"), (None, "alone", "e"), (None, "alone", "e"), (3, "same", "f"), (3, "same", "f")]
