@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -120,6 +121,34 @@ def test_near_copies_by_fingerprints(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one_per_class(docs).collect()} == want
 
 
+def test_settled_leaves_no_shuffle(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        found = disk.getAllBlocks()
+        return {name for k in range(found.size()) if (name := found.apply(k).name()).startswith("shuffle_")}
+
+    docs = spark.range(2000).selectExpr("id % 300 AS k", "id")
+    before, setting = held(), spark.conf.get(simhash.DROP_SHUFFLES, None)
+    df = docs.groupBy("k").count().join(docs.repartition(3, "id"), "k")
+    out = simhash.settled(df)
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(simhash.DROP_SHUFFLES, None) == setting
+    assert out.count() == df.count() == 2000
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_first_of_node(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_TEXTS", few)
+    rows = [(1, 9, 0, "a"), (1, 4, 1, "b"), (1, 4, 2, "c"), (2, 7, 3, "d"), (3, 5, 4, "e"), (3, 5, 5, "f")]
+    got = simhash.first_of_node(spark.createDataFrame(rows, "node long, th long, r long, head string").repartition(3))
+    assert got.columns == ["node", "th", "head"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 4, "b"), (2, 7, "d"), (3, 5, "e")]
+
+
 def test_one_row_per_class(spark):
     other = " ".join(f"v{k}" for k in range(60))
     rows = [(1, PROSE, "a"), (2, PROSE, "b"), (2, other, "c"), (None, other, "d"), (None, "alone", "e"), (None, "alone", "e"), (3, "same", "f"), (3, "same", "f")]
