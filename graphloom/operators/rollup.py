@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from graphloom.functions.exprs import module_key, weight
+from graphloom.operators.frames import dealt, handed, pinned
 from graphloom.schema import allowed
 
 
 def first_edges(edges: DataFrame, seq: str = "seq") -> DataFrame:
     """One edge per (type, src, dst, file_path, line): the first by seq; null and empty path, null and no line are one."""
-    key = ["type", "src", "dst", F.coalesce("file_path", F.lit("")), F.coalesce("line", F.lit(0))]
-    return edges.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(seq))).filter("rank = 1").drop("rank")
+    # dealt by src and a 16th of dst, equal edges meet, neighbours stay together and hubs are split; no sort before that
+    key = ["type", "src", "share", "dst", F.coalesce("file_path", F.lit("")), F.coalesce("line", F.lit(0))]
+    met = dealt(edges.withColumn("share", F.pmod(F.xxhash64("dst"), F.lit(16))), "src", "share")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(seq))).filter("rank = 1").drop("rank", "share")
 
 
 def merged_nodes(nodes: DataFrame, seq: str = "seq") -> DataFrame:
@@ -47,12 +50,13 @@ def upserted(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges
     cols, ecols = nodes.columns, edges.columns
     if changed is not None:
         gone = nodes.join(changed, "file_path", "left_semi").select("id")
+        gone = handed(pinned(gone))
         nodes = nodes.join(changed, "file_path", "left_anti").select(cols)
         edges = edges.join(changed, "file_path", "left_anti").join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select(ecols)
     all_nodes = nodes.withColumn("seq", F.lit(0)).unionByName(new_nodes.select(cols).withColumn("seq", F.lit(1)))
     top = Window.partitionBy("id").orderBy(F.desc("seq"))
     all_nodes = all_nodes.withColumn("rank", F.row_number().over(top)).filter("rank = 1").select(cols)
-    all_edges = first_edges(new_edges.select(ecols).withColumn("seq", F.lit(0)).unionByName(edges.withColumn("seq", F.lit(1))))
-    known = all_nodes.select("id")
-    all_edges = all_edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    every = new_edges.select(ecols).withColumn("seq", F.lit(0)).unionByName(edges.withColumn("seq", F.lit(1))).filter("src is not null and dst is not null")
+    missing = handed(pinned(every.select("src").unionByName(every.select(F.col("dst").alias("src"))).distinct().join(all_nodes.select(F.col("id").alias("src")), "src", "left_anti")))
+    all_edges = first_edges(every.join(missing, "src", "left_anti").join(missing.withColumnRenamed("src", "dst"), "dst", "left_anti"))
     return all_nodes, all_edges.select(ecols)
