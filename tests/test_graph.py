@@ -1,6 +1,12 @@
+import pytest
+
 from graphloom.functions.exprs import is_test_path, is_virtual_path, method_name, virtual_path
+from graphloom.operators import queries
 from graphloom.operators.queries import Graph
+from graphloom.operators.rollup import first_edges, upserted
+from graphloom.operators.traverse import reached
 from graphloom.schema import clamp, symbol_id
+from graphloom.sources import derived
 from graphloom.sources.scan import normal_changes, scan
 from graphloom.sources.store import Store
 from graphloom.streaming.changes import Runtime
@@ -119,3 +125,56 @@ def test_related_clusters(spark):
 def test_only_double_underscored_mocks_are_tests(spark):
     rows = spark.createDataFrame([("mocks/a.ts", False), ("__mocks__/a.ts", True), ("src/a-spec.ts", True), (None, False)], "path string, want boolean")
     assert all(r.got == r.want for r in rows.select("want", is_test_path(rows.path).alias("got")).collect())
+
+
+TABLES = {
+    "region": ("r_regionkey int, r_name string", [(0, "R")]), "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0), (1, "M", 0)]),
+    "part": ("p_partkey long, p_brand string", [(1, "B1"), (301, "B1"), (2, None)]), "orders": ("o_orderkey long, o_custkey long", [(1, 1), (501, 1), (2, 2), (3, None)]),
+    "lineitem": ("l_orderkey long, l_suppkey long, l_partkey long", [(1, 1, 1), (501, 1, 301), (2, 1, 2), (2, 1, 2), (3, 1, 1), (2, None, 1)]),
+    "customer": ("c_custkey long, c_name string, c_nationkey int, c_mktsegment string", [(1, "C1", 0, "S"), (1, "C1", 1, "S"), (2, "C2", 0, None), (2, "C2", 0, None)]),
+    "supplier": ("s_suppkey long, s_name string, s_nationkey int", [(1, "S1", 1)]),
+}
+
+
+@pytest.mark.parametrize("name", ["S2", None])
+def test_derived_edges_are_those_of_the_sql(spark, tmp_path, monkeypatch, name):
+    for table, (schema, rows) in TABLES.items():
+        more = [(2, name, 0)] if table == "supplier" else [(2, 2, 2), (1, 2, 301)] if table == "lineitem" else []
+        spark.createDataFrame(rows + more, schema).write.parquet(str(tmp_path / f"{table}.parquet"))
+    monkeypatch.setattr(derived, "SCAN_ROWS", 4)
+    edges, want = derived.stored(spark, str(tmp_path))[1], derived.graph(spark, str(tmp_path))[1]
+    assert sorted(map(str, edges.collect())) == sorted(map(str, want.collect()))
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Relation") > 1  # of bounded rows each
+
+
+def test_few_nodes_leave_edges_where_they_are(spark):
+    steps = spark.createDataFrame([(f"{a}", f"{a % 3 + 1}") for a in range(1, 2000)] + [(None, "1"), ("1", None)], "a string, b string")
+    hops = reached(spark.createDataFrame([("1",)], "id string"), steps, 4)
+    assert sorted(hops.collect(), key=str) == sorted([("1", 0), ("2", 1), (None, 1), ("3", 2)], key=str)
+    assert "Exchange" not in hops._jdf.queryExecution().executedPlan().toString()  # levels are computed, the steps not shuffled again
+    g = graph(spark, [symbol("t", "a.ts"), symbol("x", "b.ts")], [("calls", "symbol:x", "symbol:t", "b.ts", 10)])
+    assert "Exchange" not in g.impact(symbols=["t"])["visited"]._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_clusters_beside_the_largest(spark, monkeypatch, few):
+    monkeypatch.setattr(queries, "FEW", few)
+    pairs = [("a", "x"), ("b", "x"), ("c", "y"), ("d", "y"), ("b", "y"), ("y", "b"), ("p", "q"), ("q", "p"), ("a", "gone"), ("a", "a"), ("c", "p")]
+    nodes = [symbol(n, "a.ts") for n in "abcdxypqz"] + [("module:m", "module", "m", None, None)]
+    edges = [("calls", f"symbol:{s}", f"symbol:{d}", "a.ts", k) for k, (s, d) in enumerate(pairs)] + [("imports", "symbol:z", "module:m", "a.ts", 1)]
+    cut = [graph(spark, nodes, e).clusters()[0].collect() for e in (edges, [e for e in edges if e[4] != 10])]
+    assert [sorted((r["root"][7:], r["size"], r["internal_edges"]) for r in found) for found in cut] == [[("a", 8, 7), ("z", 1, 0)], [("a", 6, 5), ("p", 2, 1), ("z", 1, 0)]]
+
+
+def test_dedupe_sorts_after_its_exchange_alone(spark):
+    edges = spark.createDataFrame([("calls", "a", "b", p, n, k) for k, (p, n) in enumerate([(None, 1), ("", 1), ("f", None), ("f", 0), ("f", 2)])], EDGE + ", seq int")
+    found = first_edges(edges)
+    assert sorted(r.seq for r in found.collect()) == [0, 2, 4]
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan[plan.rindex("Exchange hashpartitioning"):]
+
+
+def test_update_drops_edges_without_ends(spark):
+    g = graph(spark, [symbol("a", "a.ts"), symbol("b", "b.ts")], [("calls", "symbol:a", "symbol:b", None, 1), ("calls", "symbol:a", "symbol:c", None, 1), ("calls", None, "symbol:b", None, 2), ("calls", "symbol:b", None, None, 3)])
+    kept = upserted(g.nodes, g.edges, g.nodes.limit(0), g.edges.limit(0), None)[1]
+    assert [(r.src, r.dst) for r in kept.collect()] == [("symbol:a", "symbol:b")]
